@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, simhash, token_counts
+from . import bpe, decontaminate, line_dedup, quality_rules, simhash, token_counts
 from .common import table, whole
 
 
@@ -23,6 +23,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs, labels, F.col("doc_id"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(whole(F.col("text")), 256).alias("kept_sha256"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
     "op6_bpe": op6_bpe,
+    "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
