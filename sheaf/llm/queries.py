@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality_rules, simhash, token_counts
+from . import bpe, decontaminate, licenses, line_dedup, quality_rules, simhash, token_counts
 from .common import table, whole
 
 
@@ -19,6 +19,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -62,6 +66,7 @@ FROM marked GROUP BY doc_id
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_license_scans": op5_license_scans,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
