@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, quality_rules, simhash, token_counts
+from . import bpe, decontaminate, licenses, line_dedup, pii, quality_rules, simhash, token_counts
 from .common import table, whole
 
 
+#: For the tables of tests only: a deployment passes its own secret.
+PSEUDONYM_KEY = "key of the test tables"
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -37,6 +41,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(whole(F.col("text")), 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +78,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
 
