@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, pii, quality_rules, simhash, token_counts
+from . import (
+    bpe,
+    decontaminate,
+    html_text,
+    licenses,
+    line_dedup,
+    pii,
+    quality_model,
+    quality_rules,
+    simhash,
+    token_counts,
+)
 from .common import table, whole
 
 
@@ -19,6 +30,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -73,6 +92,8 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_token_counts": op4_token_counts,
     "op5_license_scans": op5_license_scans,
     "op6_bpe": op6_bpe,
