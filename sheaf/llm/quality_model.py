@@ -9,6 +9,7 @@ logistic curve fitted on documents kept out of that turns margins into scores.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,6 +24,8 @@ from .common import settled, ship, whole
 #: Hashed indicators, and the lengths of n-grams in bytes.
 BUCKETS = 1 << 17
 SIZES = (1, 2, 3, 4)
+#: Word n-grams of one word over and over are indicators of their own, whatever the word: the first buckets.
+REPEATS = (2, 3, 4, 7, 13)
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashes.
 MAX_LABELLED = 5_000
 #: Bytes hashed at a time.
@@ -52,7 +55,11 @@ def indicators(text: str | None) -> np.ndarray:
                 break
             folded = (folded[:n] + part[k:] + np.uint32(1)) * np.uint32(0x9E3779B1)
             if k + 1 in SIZES:
-                seen[(folded ^ np.uint32(k) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)] = True
+                seen[(folded ^ np.uint32(k * 0x05EBCA6B)) >> np.uint32(33 - BUCKETS.bit_length())] = True
+    words = (text or "").split()
+    same = bytes(map(operator.eq, words, words[1:]))
+    for bucket, n in enumerate(REPEATS):
+        seen[bucket] |= b"\x01" * (n - 1) in same
     return np.flatnonzero(seen).astype(np.int32)
 
 
@@ -87,8 +94,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         x.append(v / norms[i] if norms[i] else v)
     w, bias = np.zeros(BUCKETS), 0.0
     y = np.where(labels == 1, 1.0, -1.0)
-    # The rarer class weighs as much in all as the other one.
-    most = COST * n / (2 * np.where(labels == 1, good, n - good))
+    most = np.full(n, COST)
     alpha, q = np.zeros(n), np.array([v @ v + 1 for v in x])
     draw = np.random.default_rng(0)
     for _ in range(EPOCHS):
