@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces as P
-from .common import ship, whole
+from ..shipping import ship
+from .common import whole
 
 #: The pattern of byte-level pre-tokens, and the code points that stand for bytes in vocabulary files.
 PRE_TOKEN = regex.compile(

@@ -11,16 +11,10 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from ..durable import settled
 
 #: Bytes that count as white space in every word pattern here: space, \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,45 +24,14 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 9223372036854775807
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-_settled: list[tuple[SparkSession, str]] = []
-_shipped: set[str] = set()
+__all__ = ["settled"]
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the cluster names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    Cuts the lineage without copies on single executors: whatever executor is
-    lost later, the files remain. They go when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    if not _settled:
-        atexit.register(_sweep)
-    _settled.append((spark, path))
-    df.write.parquet(path)
-    nullable = StructType([type(f)(f.name, f.dataType, True) for f in df.schema.fields])
-    return spark.read.schema(nullable).parquet(path)
-
-
-def _sweep() -> None:
-    for spark, path in _settled:
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone when the process ends
-            return
-
-
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -96,17 +59,3 @@ def id_key(doc_id: Column) -> Column:
 def documents_again(df: DataFrame) -> DataFrame:
     """The columns of ``documents``, ``n_chars`` counted anew."""
     return df.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a context, unless their PYTHONPATH has it."""
-    root = Path(__file__).resolve().parents[2]
-    context = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
-        return
-    target = Path(tempfile.mkdtemp()) / "sheaf.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for source in sorted((root / "sheaf").rglob("*.py")):
-            z.write(source, source.relative_to(root))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, ship, whole
+from ..shipping import ship
+from .common import id_key, whole
 from .simhash import bit_table
 
 WIDTH = 5

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, whole
+from ..shipping import ship
+from .common import whole
 
 #: Labelled pages that weights are fitted on, at most: those of the smallest hashes.
 MAX_LABELLED = 2_000

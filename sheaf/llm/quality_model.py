@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship, whole
+from ..shipping import ship
+from .common import settled, whole
 
 #: Hashed indicators, and the lengths of n-grams in bytes.
 BUCKETS = 1 << 17

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, row_key, settled, ship, whole
+from ..shipping import ship
+from .common import id_key, row_key, settled, whole
 
 RADIUS = 3
 SEED = 42

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces as P
-from .common import ship, whole
+from ..shipping import ship
+from .common import whole
 
 #: Characters encoded at a time; longer texts are split at safe places.
 BATCH_CHARS = 1 << 20
