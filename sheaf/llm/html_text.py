@@ -35,7 +35,7 @@ LEFT_OUT = {
 }
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
-    "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "mark", "q", "rp", "rt", "ruby", "s", "samp", "script", "small", "style", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 KEPT = {"html", "body", "article", "main"}

@@ -10,13 +10,13 @@ by document, and is looked up through a broadcast table with a proven bound.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, id_key, let, row_key, settled, whole
 
-#: Keys found in at least a 1 / HEAVY_SHARE part of all keyed lines are looked up by
-#: broadcast: there are at most HEAVY_SHARE of them, of 32 bytes each.
+#: Keys that hold a 1 / HEAVY_SHARE part or more of all (shared key, document) pairs are
+#: looked up by broadcast: there are at most HEAVY_SHARE of them, of 32 bytes each.
 HEAVY_SHARE = 4096
 
 
@@ -38,26 +38,18 @@ def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> tuple[DataFrame, int]:
-    """(k1, k2, keeper, n_docs) of the keys found in ``min_docs`` documents, and the number of keyed lines."""
-    lines = Observation()
-    found = (
-        _keyed_lines(docs, min_chars)
-        .observe(lines, F.count(F.lit(1)).alias("n"))
-        .groupBy("k1", "k2", "id")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("k1", "k2")
-        .agg(F.min("id").alias("keeper"), F.count("one").alias("n_docs"))
-        .where(F.col("n_docs") >= min_docs)
-    )
-    found = settled(found)
-    return found, lines.get["n"]
+def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """(k1, k2, keeper, n_docs) of the keys found in ``min_docs`` documents; settled."""
+    by_document = _keyed_lines(docs, min_chars).groupBy("k1", "k2", "id").agg(F.lit(1).alias("one"))
+    found = by_document.groupBy("k1", "k2").agg(F.min("id").alias("keeper"), F.count("one").alias("n_docs"))
+    return settled(found.where(F.col("n_docs") >= min_docs))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """(id, row, drops): sorted positions of the lines that each document loses."""
-    shared, n_lines = repeated_lines(docs, min_chars, min_docs)
-    least = max(min_docs, n_lines // HEAVY_SHARE + 1)
+    shared = repeated_lines(docs, min_chars, min_docs)
+    pairs = shared.agg(F.sum("n_docs")).first()[0] or 0
+    least = max(1, -(-pairs // HEAVY_SHARE))
     lines = _keyed_lines(docs, min_chars)
     heavy = shared.where(F.col("n_docs") >= least).select(
         F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("keeper").alias("h_keeper")
