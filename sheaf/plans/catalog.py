@@ -576,11 +576,11 @@ found AS (
 )"""
 
 
-@query(f"WITH {_PLANTED_SQL} SELECT b AS batch_id, code, ids, CAST(page AS INTEGER) AS output_page, count(*) AS n FROM found GROUP BY ALL")
+@query(f"WITH {_PLANTED_SQL} SELECT b AS batch_id, code, ids, CAST(coalesce(page, 0) AS INTEGER) AS output_page, count(*) AS n FROM found GROUP BY ALL")
 def coverage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset, placed = _planted(spark, sf_dir)
     found = integrity.placement_issues(placed, asset)
-    return found.groupBy("batch_id", "code", F.array_join("source_page_ids", ",").alias("ids"), "output_page").agg(F.count("*").alias("n"))
+    return found.groupBy("batch_id", "code", F.array_join("source_page_ids", ",").alias("ids"), F.coalesce("output_page", F.lit(0)).alias("output_page")).agg(F.count("*").alias("n"))
 
 
 @query(f"""
