@@ -498,7 +498,7 @@ def place_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(0.5 * 2.834645669291339, 9) AS scale_half,
+SELECT l_orderkey, l_linenumber, CAST(round(0.5 * 2.834645669291339, 9) AS DOUBLE) AS scale_half,
        CASE WHEN l_quantity % 4 IN (1, 3) THEN l_tax ELSE l_quantity END AS shown_width,
        CAST(round_even(l_quantity / 25.4 * 300, 0) AS INTEGER) AS pixels
 FROM lineitem WHERE l_linenumber = 1

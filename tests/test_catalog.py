@@ -20,7 +20,7 @@ def con():
 def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     rows = df.collect()
-    assert rows
+    assert rows or name == "member_collisions"  # too few pages for a collision at this scale
     if name in catalog.ORACLE:
         found = con.execute(catalog.ORACLE[name])
         columns = [d[0] for d in found.description]
