@@ -42,12 +42,12 @@ def _stream(key: str, tweak: Column, i: Column, size: Column) -> Column:
 
 
 def _sizes(symbols: Column, hexadecimal: Column) -> Column:
-    """Class sizes: digits 10, small letters 26 (6 in hexadecimal values), capitals 26, everything else 1."""
+    """Class sizes: digits 10, letters of either case 26 (6 in hexadecimal values), everything else 1."""
     return F.transform(
         symbols,
         lambda c: F.when(c.between("0", "9"), 10)
         .when(c.between("a", "z"), F.when(hexadecimal, 6).otherwise(26))
-        .when(c.between("A", "Z"), 26)
+        .when(c.between("A", "Z"), F.when(hexadecimal, 6).otherwise(26))
         .otherwise(1),
     )
 
@@ -219,7 +219,7 @@ def pseudonym(found: Column, key: str, undo: bool = False) -> Column:
     short = lambda c, n: F.substring(c, F.lit(1), F.char_length(c) - n)
     n_digits = F.char_length(digits_of(found))
     return (
-        F.when(is_("secret"), F.concat(head, symbols_permuted(value, key, F.lit("secret"), value.rlike("^[0-9a-f]+$"), undo)))
+        F.when(is_("secret"), F.concat(head, symbols_permuted(value, key, F.lit("secret"), value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), undo)))
         .when(is_("access_key"), F.concat(F.substring(found, 1, 4), symbols_permuted(F.substring(found, 5, 16), key, F.lit("access"), plain, undo)))
         .when(is_("email"), F.concat(symbols_permuted(short(found, F.char_length(tail)), key, F.lit("email"), plain, undo), tail))
         .when(is_("iban"), iban_pseudonym(found, key, undo))

@@ -59,6 +59,7 @@ TEXTS = [
     "",
     "no data 2.0 here 12 = 5: x",
     "4111111111111111 " * 200,
+    "TOKEN = 9233A8ECF7C5B09FE594!!",
 ]
 
 
@@ -80,6 +81,7 @@ def test_values_are_gone_and_keep_their_format(masked):
     for i in (0, 1, 3, 4, 5, 6, 7, 8, 12):
         assert shape(rows[i].text) == shape(TEXTS[i]), rows[i].text
     assert [rows[i].n_found for i in range(13)] == [2, 2, 1, 2, 3, 2, 2, 1, 1, 0, 0, 0, 200]
+    assert re.fullmatch("TOKEN = [0-9A-F]{20}!!", rows[13].text) and rows[13].text != TEXTS[13]
     assert rows[9].text == rows[10].text == "" and rows[11].text == TEXTS[11]
     for private in ("hein.19", "555-3824", "152.143.123.131", "4785380592391139", "1987-02-28", "24be6443", "a9f9aa9aa9", "IOSFODNN7", "WEST12345698765432", "123-45-6789"):
         assert not any(private in (r.text or "") for r in rows.values() if r.doc_id not in (6,)), private
