@@ -38,6 +38,12 @@ INLINE = {
     "mark", "q", "rp", "rt", "ruby", "s", "samp", "script", "small", "style", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"ul", "ol", "menu"}
+#: Start tags that end an open paragraph.
+ENDS_P = HEADINGS | LISTS | {
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+    "header", "hr", "main", "nav", "p", "pre", "section", "table",
+}
 KEPT = {"html", "body", "article", "main"}
 #: Parts of class, id and role values that name what isn't content.
 NAMED = re.compile(
@@ -49,8 +55,10 @@ HAVING = re.compile(r"^(?:has|with|no|is|without)[-_]")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|(<)", re.DOTALL
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN_NAME = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.IGNORECASE)
+HIDDEN_VALUE = re.compile(r"(?<![\w-])(?:aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none)", re.IGNORECASE)
 
 #: Weights where there are no labelled pages: of words by container, of tags.
 WORDS = {"content": 3.0, "p": 1.0, "heading": 0.6, "li": 0.3, "other": 0.4}
@@ -61,7 +69,7 @@ OTHER_TAG, INLINE_TAG = -1.0, -0.2
 def _named_out(name: str, rest: str) -> bool:
     if name in KEPT or not rest:
         return False
-    if HIDDEN.search(rest):
+    if HIDDEN_VALUE.search(rest) or HIDDEN_NAME.search(QUOTED.sub("", rest)):
         return True
     for m in ATTRIBUTE.finditer(rest):
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -70,16 +78,24 @@ def _named_out(name: str, rest: str) -> bool:
     return False
 
 
+def _ends(open_name: str, name: str, slash: str, lists: int) -> bool:
+    """Whether a tag ends an open ``p`` or ``li`` that has no end tag of its own; ``lists`` are open inside it."""
+    if open_name == "p":
+        return name in ENDS_P and not (slash and name == "p") or bool(slash) and name in ("li", "td", "th", "body", "html")
+    return open_name == "li" and not lists and (name in LISTS if slash else name == "li")
+
+
 def events(page: str) -> list[tuple[str, str, str, bool]]:
     """(kind, name or container, text, inside a content element) of a page, in order.
 
     kind is "tag" or "text"; text of what is left out isn't there. An element that
-    is left out ends with its own end tag; without one only its tag is meant.
+    is left out ends with its own end tag; without one only its tag is meant, but for
+    paragraphs and list items, which then end where the next block does.
     """
     tokens = [(m.start(), m.end(), m[1], (m[2] or "").lower(), m[3], m[4] or m[5]) for m in TOKEN.finditer(page)]
     ends = Counter(name for _, _, slash, name, _, _ in tokens if slash)
     out: list[tuple[str, str, str, bool]] = []
-    skipped, depth, content, last = "", 0, 0, "other"
+    skipped, depth, lists, content, last = "", 0, 0, 0, "other"
     raw_until = -1
     for start, end, slash, name, rest, text in tokens:
         if start < raw_until:
@@ -87,11 +103,15 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
         if name:
             if slash:
                 ends[name] -= 1
+            if skipped and _ends(skipped, name, slash, lists):
+                skipped = ""
             if skipped:
                 if name == skipped:
                     depth += -1 if slash else 1
                     if not depth:
                         skipped = ""
+                elif name in LISTS:
+                    lists += -1 if slash else 1
                 continue
             out.append(("tag", name, "", content > 0))
             if not slash and name in RAW:
@@ -105,8 +125,8 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
                 content = max(0, content + (-1 if slash else 1))
             if not slash and name not in VOID and not rest.endswith("/"):
                 header = name == "header" and not content
-                if (name in LEFT_OUT or header or _named_out(name, rest)) and ends[name] > 0:
-                    skipped, depth = name, 1
+                if (name in LEFT_OUT or header or _named_out(name, rest)) and (ends[name] > 0 or name in ("p", "li")):
+                    skipped, depth, lists = name, 1, 0
             if name == "p" or name in HEADINGS or name == "li":
                 last = ("heading" if name in HEADINGS else name) if not slash else "other"
         elif text and not skipped:

@@ -17,6 +17,10 @@ PAGES = [
     (page("<div><p>No article element, but a long paragraph of words that is the content here.</p></div><div class='cookie-notice'><p>We use cookies</p></div>"), "No article element, but a long paragraph of words that is the content here."),
     (page("<article><p>Unclosed <nav>menu stays text</article>"), "Unclosed menu stays text"),
     (page("<article><p>a<script>if (a < b) { x('</p>') }</script>b<!-- c --></p><style>p{}</style></article>"), "ab"),
+    (page("<article><p>Real words here.</p><p class='ad'>Buy now<p>Second words.</p><p>Third.</p></article>"), "Real words here. Second words. Third."),
+    (page("<article><p>Real words here.</p><p class='ad'>Buy now</article><footer>f</footer>"), "Real words here."),
+    (page("<article><ul><li>One thing to know<li class='ad'>Buy <ul><li>this<li>that</ul> now<li>Two things</ul><p>More of it.</article>"), "One thing to know Two things More of it."),
+    (page("<article><p data-id='nav'>Kept words.</p><p title='the hidden door'>More words.</p><p hidden>Gone</p></article>"), "Kept words. More words."),
     ("", ""),
     (None, ""),
     ("just text, no markup", "just text, no markup"),
