@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import whole
 
-#: Labelled pages that weights are fitted on, at most: those of the smallest hashes.
+#: Distinct labelled pages that weights are fitted on, at most: those of the smallest hashes.
 MAX_LABELLED = 2_000
+#: Times as many hashes are expected under the limit that goes before their ordering.
+SPARE = 4
 #: Element names.
 CONTENT = {"article", "main"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes"}
@@ -181,10 +183,17 @@ def main_text(page: str | None, weights: tuple[dict[str, float], dict[str, float
 
 
 def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights from labelled pages, ``max_labelled`` at most; one row a tag name comes to the driver, 500 at most."""
+    """Weights from labelled pages; one row a tag name comes to the driver, 500 at most.
+
+    ``max_labelled`` distinct pages at most; each counts as often as it occurs.
+    """
     ship(pages.sparkSession)
-    some = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).orderBy(F.xxhash64("html"), "html").select(F.xxhash64("html").alias("h")).limit(max_labelled)
-    rows = pages.where(F.col("html").isNotNull()).select("html").join(F.broadcast(some.distinct()), F.xxhash64("html") == F.col("h"), "left_semi")
+    hashes = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64("html").alias("h"))
+    # Only hashes under a limit that some times ``max_labelled`` pages are expected to meet go to the one task that orders them.
+    known = hashes.agg(F.approx_count_distinct("h")).first()[0] or 0
+    limit = min(2**63 - 1, 2**63 * SPARE * max_labelled // max(known, 1))
+    some = hashes.where(F.shiftrightunsigned("h", 1) <= limit).distinct().orderBy("h").limit(max_labelled)
+    rows = pages.where(F.col("html").isNotNull()).select("html").join(F.broadcast(some), F.xxhash64("html") == F.col("h"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
