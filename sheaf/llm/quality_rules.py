@@ -24,8 +24,8 @@ SYMBOLS = "#*$%&|<>"
 #: Shares of good documents that all rules together may reject, and the chance that the guarantee fails.
 FALSE_REJECTION = 0.1
 ERROR = 0.1
-#: Good labelled documents that calibrate, at most: those of the smallest hashes.
-MAX_LABELLED = 20_000
+#: So many good labelled documents or fewer certify no cutoff at any level.
+TOO_FEW = 100
 #: Rules and their cutoffs, loosest first; a text above the cutoff is rejected.
 RULES: dict[str, list[float]] = {
     "symbol_share": [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08],
@@ -122,27 +122,27 @@ def tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(summed)
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(stratum, n_good, <rule>...): the strictest certified cutoff of each rule, null where none is.
 
-    Calibrates on documents labelled ``quality`` = 1, of which the ``max_labelled``
-    with the smallest hashes of their ids are taken; a document with several labels
-    counts as its lowest. A stratum with a cutoff needs over a hundred of them, so
-    that the result has ``max_labelled`` / 100 rows at most.
+    Calibrates on all documents labelled ``quality`` = 1; a document with several
+    labels counts as its lowest. Strata of ``TOO_FEW`` of them or fewer certify
+    nothing and aren't tested.
     """
     good = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("__id"))
         .agg(F.min("quality").alias("q"))
         .where("q = 1")
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(max_labelled)
         .select("__id")
     )
-    held = docs.join(F.broadcast(good), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
-    found = measures(held, stratum(F.col("lang")).alias("stratum")).where(~base_failed())
-    counts = [F.count_if(F.col(rule) > c).alias(f"{rule}_{i}") for rule, cs in RULES.items() for i, c in enumerate(cs)]
-    counted = settled(found.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts))
+    # An inner join stays above the measures, so that figures are dealt out, not texts; ids in ``good`` are distinct.
+    figures = measures(docs, F.col("doc_id").cast("long").alias("of_id"), stratum(F.col("lang")).alias("stratum"))
+    found = figures.join(good, F.col("of_id") == F.col("__id"))
+    passed = ~base_failed()
+    counts = [F.count_if(passed & (F.col(rule) > c)).alias(f"{rule}_{i}") for rule, cs in RULES.items() for i, c in enumerate(cs)]
+    counted = found.groupBy("stratum").agg(F.count_if(passed).alias("n_good"), *counts)
+    counted = settled(counted.where(F.col("n_good") > TOO_FEW))
     level = ERROR / len(RULES) / max(1, counted.count())
     chosen = []
     for rule, cs in RULES.items():
@@ -166,7 +166,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *carried: Column, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *carried: Column) -> DataFrame:
     """The carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. A text fails the base rules with fewer than 20
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, labels: DataFrame, *carried: Column, max_labelled: in
     for the document's stratum, its ``lang`` (null: a stratum of its own). Without
     labels, or with too few, only the base rules reject. Equal rows stay separate.
     """
-    limits = cutoffs(docs, labels, max_labelled).select(
+    limits = cutoffs(docs, labels).select(
         F.col("stratum").alias("__stratum"), *[F.col(r).alias(f"__{r}") for r in RULES]
     )
     found = measures(docs, *carried, stratum(F.col("lang")).alias("_stratum"))

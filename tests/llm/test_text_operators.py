@@ -284,6 +284,18 @@ def test_quality_cutoffs_bound_false_rejection(spark):
         assert r.t == (1.0 if r.k >= r.n * p else pytest.approx(exact, rel=1e-9))
 
 
+def test_quality_cutoffs_are_calibrated_on_all_labels(spark):
+    n, rare = 40_000, 400
+    plain = "concat_ws(' ', transform(sequence(1, 25), k -> concat('word', id, 'x', k)))"
+    ids = spark.range(n + rare + 50)
+    docs = ids.selectExpr("id AS doc_id", f"CASE WHEN id < {n + rare} THEN {plain} ELSE replace({plain}, 'x', '#########') END AS text", f"if(id < {n}, 'en', 'rare') AS lang")
+    labels = ids.where(f"id < {n + rare}").selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    limits = {r.stratum: r.n_good for r in quality_rules.cutoffs(docs, labels).collect()}
+    assert limits == {"en": n, "rare": rare}
+    judged = quality_rules.judge(docs, labels, F.col("doc_id")).where("kept")
+    assert judged.count() == n + rare and judged.agg(F.max("doc_id")).first()[0] < n + rare
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
