@@ -111,5 +111,18 @@ def test_the_key_undoes_it(masked):
     assert other[0] != TEXTS[0]
 
 
+def test_long_secrets_are_permuted_to_their_end(spark):
+    some = ["ab3" * 100, "ab3" * 100 + "x", "Az-9_./" * 3000]
+    docs = spark.createDataFrame([(i, f"token={t} and on") for i, t in enumerate(some)], "doc_id long, text string")
+    found = pii.pseudonymise(docs, "key").cache()
+    for r in found.collect():
+        value = r.text.removeprefix("token=").removesuffix(" and on")
+        old = some[r.doc_id]
+        assert r.n_found == 1 and len(value) == len(old)
+        assert all(value[k : k + 21] != old[k : k + 21] for k in range(len(old) - 20))
+    back = {r.doc_id: r.text for r in pii.pseudonymise(found, "key", undo=True).collect()}
+    assert back == {i: f"token={t} and on" for i, t in enumerate(some)}
+
+
 def test_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "key").count() == 0
