@@ -30,8 +30,13 @@ KINDS = {
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|[.\-][0-9])",
 }
+#: Groups of digits side by side that may hold cards, up to where another kind or a word starts; possessive, so that long rows of numbers need no stack.
+KINDS["card"] = (
+    r"(?<![0-9A-Za-z.\-])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z]|\.[0-9])(?:[ \-](?!"
+    + "|".join(KINDS[k] for k in ("email", "date", "ip", "phone", "ssn"))
+    + r")[0-9]++(?![A-Za-z]|\.[0-9]))*+"
+)
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Days from FIRST_DAY on that dates are permuted among, within LEFT x RIGHT numbers.
 FIRST_DAY, DAYS, LEFT, RIGHT, WALKS = "1900-01-01", 73049, 271, 270, 24
@@ -142,6 +147,56 @@ def card_pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     return F.when(F.pmod(luhn_sum(digits_of(value)), F.lit(10)) == 0, let(value, made))
 
 
+def cards_pseudonym(value: Column, key: str, undo: bool = False) -> Column:
+    """(p, n) of groups of digits with one sign between: the text with its cards replaced, null without one, and their number.
+
+    Cards are tried at all runs of groups with 13 to 19 digits and a valid checksum;
+    where runs overlap, the one of more digits counts, then the earlier one.
+    """
+
+    def part(v: Column, start: Column, end: Column) -> Column:
+        return F.substring(v, start + 1, end - start)
+
+    def runs(b: Column) -> Column:
+        """(-digits, start, end) of all valid ones, those that count first."""
+        n = F.size(b["e"])
+
+        def of_start(s: Column, i: Column) -> Column:
+            ends = F.slice(b["e"], i + 1, F.least(n - i, F.lit(19)))
+            all_ = F.transform(ends, lambda e, k: F.struct((s + k - e).alias("d"), s.alias("s"), e.alias("e")))
+            sized = F.filter(all_, lambda x: x["d"].between(-19, -13))
+            return F.filter(sized, lambda x: F.pmod(luhn_sum(digits_of(part(b["v"], x["s"], x["e"]))), F.lit(10)) == 0)
+
+        return F.array_sort(F.flatten(F.transform(b["s"], of_start)))
+
+    def chosen(valid: Column) -> Column:
+        span = F.transform(valid, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+        free = lambda acc, x: ~F.exists(acc, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+        none = F.array().cast("array<struct<s:int,e:int>>")
+        return F.array_sort(F.aggregate(span, none, lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc)))
+
+    def laid_out(b: Column) -> Column:
+        pieces = F.transform(
+            b["c"],
+            lambda x, k: F.concat(
+                part(b["v"], F.when(k > 0, F.get(b["c"], k - 1)["e"]).otherwise(0), x["s"]), card_pseudonym(part(b["v"], x["s"], x["e"]), key, undo)
+            ),
+        )
+        size = F.char_length(b["v"])
+        rest = part(b["v"], F.element_at(b["c"], -1)["e"], size)
+        return F.struct(F.concat(F.array_join(pieces, ""), rest).alias("p"), F.size(b["c"]).alias("n"))
+
+    def placed(v: Column) -> Column:
+        signs = F.array_compact(F.transform(F.split(v, ""), lambda c, i: F.when(c.isin(" ", "-"), i)))
+        starts = F.concat(F.array(F.lit(0)), F.transform(signs, lambda i: i + 1))
+        return F.struct(v.alias("v"), starts.alias("s"), F.concat(signs, F.array(F.char_length(v))).alias("e"))
+
+    def found(b: Column) -> Column:
+        return let(F.struct(b["v"].alias("v"), chosen(runs(b)).alias("c")), lambda x: F.when(F.size(x["c"]) > 0, laid_out(x)))
+
+    return let(placed(value), found)
+
+
 def mod97(value: Column) -> Column:
     """The remainder of letters and digits read as numbers, A as 10 to Z as 35."""
     return F.aggregate(
@@ -210,7 +265,7 @@ def date_pseudonym(value: Column, key: str, undo: bool = False) -> Column:
 
 
 def pseudonym(found: Column, key: str, undo: bool = False) -> Column:
-    """The pseudonym of one match of ANY; null where it isn't valid after all."""
+    """The pseudonym of one match of ANY other than groups of cards; null where it isn't valid after all."""
 
     def is_(kind: str) -> Column:
         return found.rlike(f"^(?:{KINDS[kind]})$")
@@ -231,7 +286,6 @@ def pseudonym(found: Column, key: str, undo: bool = False) -> Column:
         .when(is_("ip"), ip_pseudonym(found, key, undo))
         .when(is_("phone") & n_digits.between(8, 15), F.concat(lead, symbols_permuted(F.substring(found, F.char_length(lead) + 1, F.char_length(found)), key, F.lit("phone"), plain, undo)))
         .when(is_("ssn"), symbols_permuted(found, key, F.lit("ssn"), plain, undo))
-        .when(is_("card"), card_pseudonym(found, key, undo))
     )
 
 
@@ -241,7 +295,8 @@ def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     Found are secrets after a name such as ``token =``, access keys, e-mail
     addresses, account numbers with valid check digits, dates of the calendar
     from 1900 to 2099, IPv4 addresses, telephone numbers of 8 to 15 digits, social
-    security numbers of assigned ranges, and card numbers with a valid checksum.
+    security numbers of assigned ranges, and card numbers with a valid checksum,
+    beside other numbers too.
     What fails validation stays as it is. ``undo`` turns pseudonyms back, where
     permuting doesn't make another kind of value of them. Null texts become
     empty, other columns pass through.
@@ -249,7 +304,13 @@ def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     text = whole(F.col("text"))
 
     def replaced(found: Column) -> Column:
-        made = F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key, undo).alias("p")))
+        def one(m: Column) -> Column:
+            # No other kind of 13 digits or more has digits and these two signs only.
+            groups = m.rlike("^[0-9][0-9 \\-]*$") & (F.char_length(digits_of(m)) >= 13)
+            single = let(pseudonym(m, key, undo), lambda p: F.struct(p.alias("p"), F.when(p.isNull(), 0).otherwise(1).alias("n")))
+            return let(F.when(groups, cards_pseudonym(m, key, undo)).otherwise(single), lambda x: F.struct(m.alias("m"), x["p"].alias("p"), x["n"].alias("n")))
+
+        made = F.transform(found, one)
         return let(
             made,
             lambda x: F.struct(
@@ -259,7 +320,7 @@ def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
                     ),
                     "",
                 ).alias("text"),
-                F.size(F.filter(x, lambda q: q["p"].isNotNull())).cast("long").alias("n"),
+                F.aggregate(x, F.lit(0).cast("long"), lambda a, q: a + F.coalesce(q["n"], F.lit(0))).alias("n"),
             ),
         )
 

@@ -124,5 +124,28 @@ def test_long_secrets_are_permuted_to_their_end(spark):
     assert back == {i: f"token={t} and on" for i, t in enumerate(some)}
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    cases = [  # text, cards, what must be gone, what stays
+        (f"{card} 123", 1, card, " 123"),
+        (f"12 {card}", 1, card, "12 "),
+        ("4111111111111111 25", 1, "4111111111111111", " 25"),
+        (f"{card} {card}", 2, card, " "),
+        (f"1 2 3 {card} 4785380592391139 7 8", 2, "4785380592391139", " 7 8"),
+        (f"{card} 2024-01-02 {card} 192.168.7.9 or {card} 123-45-6789", 6, "2024-01-02", " or "),
+        (f"{card} 5x and 4111-1111-1111-1111 2.5", 2, "4111-1111-1111-1111", " 2.5"),
+        ("4111 1111 1111 1112 123", 0, "none", "4111 1111 1111 1112 123"),
+        ("7 " * 6000, 0, "none", "7 7"),
+    ]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    found = pii.pseudonymise(docs, "key").cache()
+    for r in found.collect():
+        text, n, gone, kept = cases[r.doc_id]
+        assert r.n_found == n and (r.text == text) == (n == 0) and gone not in r.text and kept in r.text, r.text[:80]
+        assert n == 0 or card not in r.text
+    back = {r.doc_id: r.text for r in pii.pseudonymise(found, "key", undo=True).collect()}
+    assert back[0] == cases[0][0] and back[3] == cases[3][0]
+
+
 def test_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "key").count() == 0
