@@ -1,6 +1,7 @@
 """Benchmark items inside documents, found by SimHash fingerprints of item-sized windows.
 
-Every window as long as an item gets a SimHash over its word shingles. A
+Every window as long as an item gets a SimHash over its word shingles; of a
+document shorter than the item the whole is the one window. A
 multi-index of Hamming blocks finds all items whose fingerprint is within the
 radius: with more blocks than half the radius, one block differs by a bit at
 most, so items stand in each block's table under their value and its one-bit
@@ -133,8 +134,8 @@ class ItemIndex:
         starts = defaultdict(set)
         for p in hits.tolist() if len(hits) else []:
             for n_words in self.lengths_of[int(hashes[p])]:
-                n = max(1, n_words - WIDTH + 1)
-                if n_words <= len(words) and (n_words >= WIDTH or len(words) == n_words):
+                n = min(max(1, n_words - WIDTH + 1), len(hashes))
+                if n_words >= WIDTH or len(words) == n_words:
                     starts[n_words].update(range(max(0, p - n + 1), min(p, len(hashes) - n) + 1))
         best: dict[int, tuple[int, float, int, int]] = {}
         for n_words, found in starts.items():
@@ -142,11 +143,11 @@ class ItemIndex:
             for lo in range(0, len(ordered), STEP):
                 for item_id, score, first in self._windows(hashes, n_words, ordered[lo : lo + STEP], threshold):
                     if item_id not in best or (-score, first) < (-best[item_id][1], best[item_id][2]):
-                        best[item_id] = (item_id, score, first, n_words)
+                        best[item_id] = (item_id, score, first, min(n_words, len(words)))
         return sorted(best.values())
 
     def _windows(self, hashes: np.ndarray, n_words: int, starts: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int]]:
-        group, n = self.of_length[n_words], max(1, n_words - WIDTH + 1)
+        group, n = self.of_length[n_words], min(max(1, n_words - WIDTH + 1), len(hashes))
         low = int(starts[0])
         used, at = np.unique((starts[:, None] - low + np.arange(n)).ravel(), return_inverse=True)
         table = bit_table(hashes[low + used]).astype(np.int16)
@@ -189,7 +190,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> D
 
     A row for each pair whose best window of the item's length has a weighted
     Jaccard similarity of ``threshold`` or more on five-word shingles (the best
-    window, its place in words from 0; the earliest of equals). Texts are
+    window, its place in words from 0; the earliest of equals). A document shorter
+    than the item is one window, with the document's own number of words. Texts are
     lower-cased A-Z and cut at ``[\\x20\\x09-\\x0D]``. An item of fewer than five
     words is one shingle and only matches a document of just these words; items
     without words or without an id match none. Null and empty texts hold none.

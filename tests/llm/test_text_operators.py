@@ -213,6 +213,27 @@ def test_decontamination_finds_every_similar_window(spark, texts):
     assert decontaminate.leaks(documents(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    draw = random.Random(12)
+    items = [(i, [f"w{draw.randrange(200)}" for _ in range(n)]) for i, n in enumerate([5, 6, 10, 30, 31, 45, 60] * 3)]
+    docs, want = [], set()
+
+    def shingles(w):
+        return decontaminate.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    for _, w in items:
+        for cut in range(1, 8):
+            docs += [w[cut:], w[:-cut], w[cut // 2 : len(w) - cut + cut // 2], w[: len(w) // 2] + w[len(w) // 2 + cut :]]
+    for d, w in enumerate(docs):
+        for i, v in items:
+            if len(w) < len(v) and w and (score := decontaminate.similarity(shingles(v), shingles(w))) >= 0.8:
+                want.add((d, i, round(score, 9), 0, len(w)))
+    bench = spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string")
+    rows = decontaminate.leaks(documents(spark, [" ".join(w) for w in docs]), bench).collect()
+    shorter = {(r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.n_words) for r in rows if r.n_words < len(items[r.item_id][1])}
+    assert shorter == want and len(want) > 100
+
+
 def test_licenses(spark, texts):
     lines = [
         "Released under the MIT License.",
