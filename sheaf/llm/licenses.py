@@ -1,8 +1,10 @@
 """License notices by phrases and by an exact set-similarity join, in DataFrame functions only.
 
-A block is a line of text, taken as the set of its words. A block meets a
-template if it holds at least the threshold's share of the template's words. The
-join is exact: words are ordered by global frequency, rarest first; a template
+A block is a line of text, or a window of as many words as a template has over
+line ends, taken as the set of its words. A block meets a template if it holds at
+least the threshold's share of the template's words. Windows are tried only in
+texts that hold that share anywhere, and only where they begin with a word of the
+template, which loses none. The join with lines is exact: words are ordered by global frequency, rarest first; a template
 of n words of which o must be found shares one of its first n - o + 1 words with
 every block that meets it (prefix), such a block has o words (length), and with
 the first common word at place i of the template and j of the block no more
@@ -110,6 +112,26 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
     return F.array(*[places(p) for p in phrases])
 
 
+def window_shares(words: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """(label, share) of each template that a window of its length meets: the best containment of a window."""
+    vocabulary = sorted({w for _, notice in templates for w in notice.split()})
+
+    def shares(held: Column) -> Column:
+        found = []
+        for label, notice in templates:
+            distinct = sorted(set(notice.split()))
+            wanted, length = strings(distinct), len(notice.split())
+            needed = max(1, math.ceil(round(threshold * len(distinct), 9)))
+            begins = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(wanted, F.get(words, i)))  # noqa: B023
+            common = F.transform(begins, lambda i: F.size(F.array_intersect(F.slice(words, i + 1, F.lit(length)), wanted)))  # noqa: B023
+            met = F.filter(common, lambda c: c >= needed)  # noqa: B023
+            best = F.when(F.size(F.array_intersect(held, wanted)) >= needed, F.array_max(met))
+            found.append(F.struct(F.lit(label).alias("label"), (best / len(distinct)).alias("share")))
+        return F.filter(F.array(*found), lambda x: x["share"].isNotNull())
+
+    return let(F.array_intersect(words, strings(vocabulary)), shares)
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -124,15 +146,19 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     The base: all places where a phrase's words stand consecutively, over line
     ends too; first_word and last_word are the smallest and largest start of a
     place, words counted from 0, null without one. ``labels`` adds those of
-    templates that a line of the text meets (see ``matches``). ``score`` is the
-    best containment of such a line, 1 with a phrase, 0 with neither. Labels are
+    templates that a line of the text (see ``matches``) or a window over line ends
+    (see ``window_shares``) meets. ``score`` is the best containment of such a line
+    or window, 1 with a phrase, 0 with neither. Labels are
     distinct, sorted and comma-joined; none: empty. Null and empty texts have no
     words. Equal rows stay separate rows, doc_id may be null.
     """
     phrases = PHRASES if phrases is None else phrases
+    templates = TEMPLATES if templates is None else templates
     labels = list(phrases.values())
+    windows = (lambda w: window_shares(w, templates, threshold)) if templates else (lambda w: F.array().cast("array<struct<label:string,share:double>>"))
     places = let(
-        words_of(whole(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), phrase_places(w, phrases).alias("at"))
+        words_of(whole(F.col("text"))),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), phrase_places(w, phrases).alias("at"), windows(w).alias("windows")),
     )
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), places.alias("p"))
     everywhere = F.flatten("p.at")
@@ -146,6 +172,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
         F.array_compact(
             F.array(*[F.when(F.size(F.col("p.at")[i]) > 0, label) for i, label in enumerate(labels)], F.lit(None).cast("string"))
         ).alias("base"),
+        F.col("p.windows").alias("windows"),
     )
     met = matches(docs, templates, threshold).groupBy("id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     met = met.select(F.col("id").alias("m_id"), F.col("row").alias("m_row"), "more", "best")
@@ -159,6 +186,6 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
         "first_word",
         "last_word",
         joined_labels(F.col("base")).alias("base_labels"),
-        joined_labels(F.concat("base", more)).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        joined_labels(F.concat("base", more, F.col("windows.label"))).alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.greatest("best", F.array_max("windows.share")), F.lit(0.0))).alias("score"),
     )

@@ -268,6 +268,20 @@ def test_licenses(spark, texts):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    import textwrap
+
+    prose = "some words that say nothing about it " * 5
+    wrapped = []
+    for _, notice in licenses.TEMPLATES:
+        wrapped += [textwrap.fill(notice, width, initial_indent=head, subsequent_indent=head, break_long_words=False) for width, head in ((72, " * "), (40, "# "), (12, ""))]
+    docs = documents(spark, [f"{prose}\n\n{w}\n\n{prose}" for w in wrapped] + ["this is free software\n" + prose * 20 + "under the general public license", ""])
+    rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i in range(len(wrapped)):
+        assert licenses.TEMPLATES[i // 3][0] in rows[i].labels.split(",") and rows[i].score == 1.0, wrapped[i]
+    assert all(rows[len(wrapped) + k].labels == "" and rows[len(wrapped) + k].score == 0 for k in (0, 1))
+
+
 def test_quality_rule_counts(spark, texts):
     some = texts + ["a b c d e f g h " * 4, "one two\none two\n \none two", "p q r s t u v w x p q r s t u v w"]
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
