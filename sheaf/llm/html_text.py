@@ -35,6 +35,10 @@ LEFT_OUT = {
     "head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "template", "svg", "math",
     "object", "canvas", "audio", "video", "map", "fieldset", "datalist", "figcaption",
 }
+#: Of these, what an article can show as its own.
+KEPT_INSIDE = {"figcaption", "math", "svg", "object", "fieldset", "map"}
+#: Elements without a meaning of their own, whose id counts inside an article too.
+GROUPS = {"div", "ul", "ol"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
     "mark", "q", "rp", "rt", "ruby", "s", "samp", "script", "small", "style", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -68,16 +72,24 @@ TAGS = {"p": -0.3, "br": -0.1, "h1": -0.5, "h2": -0.5, "h3": -0.5, "li": -1.5, "
 OTHER_TAG, INLINE_TAG = -1.0, -0.2
 
 
-def _named_out(name: str, rest: str) -> bool:
+def _named_out(name: str, rest: str, inside: bool) -> str:
+    """"out" where attributes say that an element isn't content, "doubted" where they may; inside a content element only whole names say so."""
     if name in KEPT or not rest:
-        return False
+        return ""
     if HIDDEN_VALUE.search(rest) or HIDDEN_NAME.search(QUOTED.sub("", rest)):
-        return True
+        return "out"
+    if inside and name in HEADINGS:
+        return ""
+    said = ""
     for m in ATTRIBUTE.finditer(rest):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if any(NAMED.search(part) and not HAVING.match(part) for part in value.split()):
-            return True
-    return False
+        if inside and m[1].lower() == "id" and name not in GROUPS:
+            continue
+        for part in (m[2] or m[3] or m[4] or "").lower().split():
+            if NAMED.fullmatch(part) or not inside and NAMED.search(part) and not HAVING.match(part):
+                return "out"
+            if inside and m[1].lower() != "id" and NAMED.search(part) and not HAVING.match(part):
+                said = "doubted"
+    return said
 
 
 def _ends(open_name: str, name: str, slash: str, lists: int) -> bool:
@@ -92,12 +104,14 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
 
     kind is "tag" or "text"; text of what is left out isn't there. An element that
     is left out ends with its own end tag; without one only its tag is meant, but for
-    paragraphs and list items, which then end where the next block does.
+    paragraphs and list items, which then end where the next block does. Text inside
+    a content element is "content", but of a doubted element counts as its container.
     """
     tokens = [(m.start(), m.end(), m[1], (m[2] or "").lower(), m[3], m[4] or m[5]) for m in TOKEN.finditer(page)]
     ends = Counter(name for _, _, slash, name, _, _ in tokens if slash)
     out: list[tuple[str, str, str, bool]] = []
     skipped, depth, lists, content, last = "", 0, 0, 0, "other"
+    doubted, doubts = "", 0
     raw_until = -1
     for start, end, slash, name, rest, text in tokens:
         if start < raw_until:
@@ -116,6 +130,9 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
                     lists += -1 if slash else 1
                 continue
             out.append(("tag", name, "", content > 0))
+            if name == doubted:
+                doubts += -1 if slash else 1
+                doubted = doubted if doubts else ""
             if not slash and name in RAW:
                 closing = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, end)
                 if closing:
@@ -127,12 +144,16 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
                 content = max(0, content + (-1 if slash else 1))
             if not slash and name not in VOID and not rest.endswith("/"):
                 header = name == "header" and not content
-                if (name in LEFT_OUT or header or _named_out(name, rest)) and (ends[name] > 0 or name in ("p", "li")):
+                named = _named_out(name, rest, content > 0)
+                left_out = name in LEFT_OUT and not (content and name in KEPT_INSIDE)
+                if named == "doubted" and not doubted and ends[name] > 0:
+                    doubted, doubts = name, 1
+                if (left_out or header or named == "out") and (ends[name] > 0 or name in ("p", "li")):
                     skipped, depth, lists = name, 1, 0
             if name == "p" or name in HEADINGS or name == "li":
                 last = ("heading" if name in HEADINGS else name) if not slash else "other"
         elif text and not skipped:
-            out.append(("text", "content" if content else last, text, content > 0))
+            out.append(("text", "content" if content and not doubted else last, text, content > 0))
     return out
 
 

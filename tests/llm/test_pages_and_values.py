@@ -38,6 +38,21 @@ def test_extraction(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_articles_keep_what_only_sounds_like_something_else():
+    body = "<p>First words here.</p>%s<p>Last words here.</p>"
+    kept = [
+        '<h2 id="related-work">Related work</h2>', '<h2 class="search">Search</h2>', '<section id="search-algorithms"><p>On trees.</p></section>', '<p id="copyright-law">On law.</p>',
+        '<section id="comments"><p>On notes.</p></section>', '<div class="share-of-votes"><p>Half of them.</p><div>More.</div></div>', "<figure><figcaption>A plate.</figcaption></figure>",
+        "<p><math><mi>x</mi></math> is one.</p>", "<svg><text>Label</text></svg>", "<fieldset><p>Set apart.</p></fieldset>",
+    ]
+    gone = ['<div class="ad">Buy</div>', '<div id="comments"><p>Hello</p></div>', '<p class="related">See</p>', '<div role="search">Find</div>', "<nav>Home</nav>", "<div hidden>No</div>"]
+    for element in kept + gone:
+        got = html_text.main_text(page(f"<article>{body % element}</article>"))
+        own = " ".join(re.sub("<[^>]*>", " ", element).split()) if element in kept else ""
+        assert got.split() == f"First words here. {own} Last words here.".split(), element
+    assert html_text.main_text(page('<div class="share-box"><p>Share this now</p></div><p>Words of some page.</p>')) == "Words of some page."
+
+
 def test_extraction_of_the_tables(spark):
     import html as h
 
