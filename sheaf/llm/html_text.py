@@ -99,8 +99,8 @@ def _ends(open_name: str, name: str, slash: str, lists: int) -> bool:
     return open_name == "li" and not lists and (name in LISTS if slash else name == "li")
 
 
-def events(page: str) -> list[tuple[str, str, str, bool]]:
-    """(kind, name or container, text, inside a content element) of a page, in order.
+def events(page: str) -> list[tuple[str, str, str, bool, str]]:
+    """(kind, name or container, text, inside a content element, own container) of a page, in order.
 
     kind is "tag" or "text"; text of what is left out isn't there. An element that
     is left out ends with its own end tag; without one only its tag is meant, but for
@@ -109,7 +109,7 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
     """
     tokens = [(m.start(), m.end(), m[1], (m[2] or "").lower(), m[3], m[4] or m[5]) for m in TOKEN.finditer(page)]
     ends = Counter(name for _, _, slash, name, _, _ in tokens if slash)
-    out: list[tuple[str, str, str, bool]] = []
+    out: list[tuple[str, str, str, bool, str]] = []
     skipped, depth, lists, content, last = "", 0, 0, 0, "other"
     doubted, doubts = "", 0
     raw_until = -1
@@ -129,7 +129,7 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
                 elif name in LISTS:
                     lists += -1 if slash else 1
                 continue
-            out.append(("tag", name, "", content > 0))
+            out.append(("tag", name, "", content > 0, ""))
             if name == doubted:
                 doubts += -1 if slash else 1
                 doubted = doubted if doubts else ""
@@ -153,7 +153,7 @@ def events(page: str) -> list[tuple[str, str, str, bool]]:
             if name == "p" or name in HEADINGS or name == "li":
                 last = ("heading" if name in HEADINGS else name) if not slash else "other"
         elif text and not skipped:
-            out.append(("text", "content" if content and not doubted else last, text, content > 0))
+            out.append(("text", "content" if content and not doubted else last, text, content > 0, last))
     return out
 
 
@@ -174,31 +174,43 @@ def learned(counts: dict[tuple[str, str], tuple[int, int]]) -> tuple[dict[str, f
 
 
 def label_counts(page: str) -> Counter:
-    """What a labelled page says: (kind, name, inside) of its words and tags; empty if it isn't labelled."""
+    """What a labelled page says: (kind, name, inside) of its words and tags; empty if it isn't labelled.
+
+    Words of a content element count under their own container too, which is all
+    that pages without one have.
+    """
     found = events(page)
-    if sum(1 for kind, name, _, _ in found if kind == "tag" and name in CONTENT) != 2:
+    if sum(1 for kind, name, *_ in found if kind == "tag" and name in CONTENT) != 2:
         return Counter()
     out: Counter = Counter()
-    for kind, name, text, inside in found:
-        out[kind, name, inside and name not in CONTENT] += words_in(text) if kind == "text" else 1
+    for kind, name, text, inside, own in found:
+        for what in {name, own} if kind == "text" else {name}:
+            out[kind, what, inside and what not in CONTENT] += words_in(text) if kind == "text" else 1
     return out
 
 
 def main_text(page: str | None, weights: tuple[dict[str, float], dict[str, float]] = (WORDS, TAGS)) -> str:
-    """The text of the maximum-scoring region."""
+    """The text of the maximum-scoring region.
+
+    On a page without a content element tags weigh no more than by default: that
+    they stand outside of articles elsewhere doesn't tell where its content ends.
+    """
     words, tags = weights
     found = events(page or "")
+    labelled = any(kind == "tag" and name in CONTENT for kind, name, *_ in found)
     best, best_from, best_to, total, begin = 0.0, 0, 0, 0.0, 0
-    for at, (kind, name, text, _) in enumerate(found):
+    for at, (kind, name, text, _, _) in enumerate(found):
         if kind == "text":
             total += words[name] * words_in(text)
         else:
-            total += tags.get(name, INLINE_TAG if name in INLINE else OTHER_TAG)
+            default = INLINE_TAG if name in INLINE else OTHER_TAG
+            weight = tags.get(name, default)
+            total += weight if labelled else max(weight, TAGS.get(name, default))
         if total > best:
             best, best_from, best_to = total, begin, at + 1
         if total <= 0:
             total, begin = 0.0, at + 1
-    pieces = [text if kind == "text" else "" if name in INLINE else " " for kind, name, text, _ in found[best_from:best_to]]
+    pieces = [text if kind == "text" else "" if name in INLINE else " " for kind, name, text, _, _ in found[best_from:best_to]]
     # A reference never reaches over a tag, so pieces are decoded one by one.
     return " ".join("".join(html.unescape(p) if "&" in p else p for p in pieces).split())
 

@@ -53,6 +53,17 @@ def test_articles_keep_what_only_sounds_like_something_else():
     assert html_text.main_text(page('<div class="share-box"><p>Share this now</p></div><p>Words of some page.</p>')) == "Words of some page."
 
 
+def test_pages_without_a_content_element_in_a_mixed_table(spark):
+    first, second = " ".join(f"first{i}" for i in range(80)), " ".join(f"second{i}" for i in range(60))
+    marked = page(f"<div>Buy now</div><div><p>Outside words.</p></div><article><h1>Title</h1><p>{first}</p><p>{second}</p></article><div><div>Other things</div></div>")
+    plain = page(f"<div><div><p>{first}</p></div><div><p>{second}</p></div></div>")
+    rows = [(i, f"u{i}", marked.replace("first7", f"first7x{i}")) for i in range(40)] + [(99, "plain", plain)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[99] == f"{first} {second}"
+    assert got[0] == " ".join(("Title", first.replace("first7", "first7x0"), second))
+
+
 def test_extraction_of_the_tables(spark):
     import html as h
 
