@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import id_key, row_key, settled, whole
+from .common import id_key, released, row_key, settled, whole
 
 RADIUS = 3
 SEED = 42
 #: Shingles hashed and counted at a time, so that a text of any length takes bounded memory beside itself.
 BLOCK = 1 << 16
+#: Fingerprints that hold a 1 / HEAVY_SHARE part of all rows or more are looked up by broadcast.
+HEAVY_SHARE = 4096
 
 
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -100,19 +102,21 @@ def near(a: str, b: str, radius: int = RADIUS):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Large-star and small-star in turn until nothing changes; every round is
-    aggregated map-side and settled, no neighbourhood is gathered in one row.
+    Large-star and small-star in turn until nothing changes, however many rounds
+    that takes; every round is aggregated map-side and settled, no neighbourhood is
+    gathered in one row.
     """
 
     def state(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(CAST(pmod(xxhash64(b, a), 4294967296) AS DECIMAL(38, 0)))")).first())
 
     edges = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = state(edges)
-    for _ in range(rounds):
+    before, now = None, state(edges)
+    while now != before:
+        before, last = now, edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -124,10 +128,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             .unionByName(least.select("a", F.col("m").alias("b")))
             .distinct()
         )
+        released(last)
         now = state(edges)
-        if now == before:
-            break
-        before = now
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
@@ -137,6 +139,23 @@ def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return settled(nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Small settled tables lie in few files; what grows out of their rows is made by as many tasks as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _blocks(index: DataFrame) -> DataFrame:
+    """Rows of ``index`` under each of four blocks of the segment that the key doesn't cover.
+
+    Fingerprints within 3 bits that share a key differ in at most 3 bits of the other
+    segment, so one of its four blocks is equal: a key that very many fingerprints
+    share is cut into 256 groups a block, and no pair is lost.
+    """
+    other = F.when(F.col("key").bitwiseAND(F.lit(1 << 37)) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    block = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i * 256 + F.call_function("shiftright", other, i * 8).bitwiseAND(F.lit(255)).cast("int"))
+    return index.select("*", F.explode(block).alias("block"))
+
+
 def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root) of distinct fingerprints: the components of all pairs within ``radius``, none left out.
 
@@ -144,21 +163,39 @@ def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("two segments with one wildcard find pairs that differ in 3 bits at most")
-    index = variants(nodes)
+    index = variants(_spread(nodes))
     pivots = index.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("pivot < top").select("key", "pivot")
     stars = index.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & near("fp", "pivot", radius))
     stars = settled(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
     known = _labelled(nodes, stars)
-    index = variants(known, "root")
+    index = variants(_spread(known), "root")
     mixed = index.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_ = settled(index.join(mixed, "key"))
-    left = open_.select("key", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    more = left.join(right, "key").where((F.col("ra") < F.col("rb")) & near("a", "b", radius)).select("ra", "rb")
+    left = _blocks(open_.select("key", "fp", F.col("root").alias("ra"))).withColumnRenamed("fp", "a")
+    right = _blocks(open_.select("key", "fp", F.col("root").alias("rb"))).withColumnRenamed("fp", "b")
+    more = left.join(right, ["key", "block"]).where((F.col("ra") < F.col("rb")) & near("a", "b", radius)).select("ra", "rb")
     more = more.groupBy("ra", "rb").agg(F.lit(1).alias("one"))
     merged = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     merged = merged.select(F.col("node").alias("root"), F.col("root").alias("final"))
-    return known.join(merged, "root", "left").select("fp", F.coalesce("final", "root").alias("root"))
+    found = settled(known.join(merged, "root", "left").select("fp", F.coalesce("final", "root").alias("root")))
+    released(stars, known, open_)
+    return found
+
+
+def _looked_up(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the columns that ``found`` has for their fingerprint, and ``n`` rows of it.
+
+    Fingerprints that hold a 1 / HEAVY_SHARE part of all rows or more, such as that of
+    empty texts or of a text copied very often, are looked up by broadcast: there are
+    at most HEAVY_SHARE of them.
+    """
+    total = found.agg(F.sum("n")).first()[0] or 0
+    least = max(2, -(-total // HEAVY_SHARE))
+    heavy = found.where(F.col("n") >= least).select(F.col("fp").alias("h"), *[F.col(c).alias(f"h_{c}") for c in columns], F.lit(True).alias("heavy"))
+    light = found.where(F.col("n") < least).select("fp", *columns)
+    marked = rows.join(F.broadcast(heavy), F.col("fp") == F.col("h"), "left")
+    of_heavy = marked.where("heavy").select(*rows.columns, *[F.col(f"h_{c}").alias(c) for c in columns])
+    return of_heavy.unionByName(marked.where("heavy IS NULL").select(*rows.columns).join(light, "fp").select(*rows.columns, *columns))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -172,24 +209,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     a component has no other, then it is null. Equal rows stay separate rows.
     ``row`` tells texts under one doc_id apart.
     """
+    rows, found = _rooted(docs, width, radius)
+    return _looked_up(rows, found, "component_id").select("doc_id", "row", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, fp) of each row, and (fp, n, component_id, first) of each fingerprint; settled.
+
+    ``first`` is the smallest (id, row) of the component.
+    """
     rows = settled(fingerprints(docs, width))
-    nodes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = linked(nodes.select("fp"), radius)
-    of_root = nodes.join(roots, "fp")
-    first = of_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = settled(of_root.join(first, "root").select("fp", "component_id"))
-    return rows.join(found, "fp").select("doc_id", "row", "fp", "component_id")
+    ident = F.struct(id_key(F.col("doc_id")).alias("i"), F.col("row").alias("r"))
+    nodes = settled(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.min(ident).alias("own")))
+    of_root = nodes.join(linked(nodes.select("fp"), radius), "fp")
+    first = of_root.groupBy("root").agg(F.min("id").alias("component_id"), F.min("own").alias("first"))
+    found = settled(of_root.join(first, "root").select("fp", "n", "component_id", "first"))
+    released(nodes)
+    return rows, found
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` of which each is the first of its component.
 
     First is the smallest doc_id, then the smallest ``row`` key; of equal rows one
-    stays. All columns pass through.
+    stays. Texts that share a doc_id but not a component stay both. A null doc_id
+    sorts last. All columns pass through, an empty table stays empty.
     """
-    found = near_duplicates(docs, width, radius).select(id_key(F.col("doc_id")).alias("i"), "row", id_key(F.col("component_id")).alias("c"))
-    kept = found.where("i = c").groupBy("i").agg(F.min("row").alias("row"))
-    kept = kept.select(F.col("i").alias("__id"), F.col("row").alias("__row"))
+    _, found = _rooted(docs, width, radius)
+    kept = found.groupBy(F.col("first.i").alias("__id"), F.col("first.r").alias("__row")).agg(F.lit(1).alias("one")).drop("one")
     keyed = docs.select(id_key(F.col("doc_id")).alias("__id"), row_key(F.col("text")).alias("__row"), F.struct("*").alias("__doc"))
     one = keyed.join(kept, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
     return one.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
