@@ -22,5 +22,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``STAGES`` applied to ``documents``; what each stage keeps is written as Parquet and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.settled(stage(spark, docs, sf_dir))
+        docs, before = common.settled(stage(spark, docs, sf_dir)), docs
+        common.released(before)
     return STAGES[-1][1](spark, docs, sf_dir)
