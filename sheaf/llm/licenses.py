@@ -1,18 +1,18 @@
 """License notices by phrases and by an exact set-similarity join, in DataFrame functions only.
 
-A block is a line of text, or a window of as many words as a template has over
-line ends, taken as the set of its words. A block meets a template if it holds at
-least the threshold's share of the template's words. Windows are tried only in
-texts that hold that share anywhere, and only where they begin with a word of the
-template, which loses none. The join with lines is exact: words are ordered by global frequency, rarest first; a template
-of n words of which o must be found shares one of its first n - o + 1 words with
-every block that meets it (prefix), such a block has o words (length), and with
-the first common word at place i of the template and j of the block no more
-than 1 + min(rest, rest) words can be common (position). What passes is verified.
-
-Only words of templates can be common, so blocks are cut down to these; templates
-and their words are parameters, which bounds all that is broadcast or sent to
-the driver.
+A block is a window of consecutive words, over line ends too, taken as the set of
+its words. It meets a template if it holds at least the threshold's share of the
+template's words; so that the template makes up as much of it, it has no more words
+than the template's length by the threshold. The join finds every such block: words
+are ordered by global frequency, rarest first; a template of n words of which o must
+be found shares one of its first n - o + 1 words with every block that meets it
+(prefix), such a block has o words (length), and o of the words around the shared
+one come no earlier in the order (position). What passes is verified, window by window.
+
+Only words of templates can be common, so texts are cut down to the places of these;
+templates and their words are parameters, which bounds all that is broadcast or
+sent to the driver. Each text is read once: its counts, the template words that it
+holds and, where those could meet a template, their places are settled.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_key, let, row_key, whole
+from .common import ascii_lower, id_key, let, row_key, settled, whole
 
 WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 THRESHOLD = 0.9
@@ -53,50 +53,77 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """The number of documents that hold each word of the vocabulary; over all documents."""
-    present = docs.select(F.explode(F.array_intersect(words_of(whole(F.col("text"))), strings(vocabulary))).alias("word"))
+def needed_words(notice: str, threshold: float) -> int:
+    return max(1, math.ceil(round(threshold * len(set(notice.split())), 9)))
+
+
+def block_words(notice: str, threshold: float) -> int:
+    """The most words of a block for a template: more, and the template is less than the threshold's share of it."""
+    return math.floor(round(len(notice.split()) / threshold, 9))
+
+
+def frequencies(read: DataFrame) -> dict[str, int]:
+    """The number of documents that hold each word of the templates; over all documents."""
+    present = read.select(F.explode("held").alias("word"))
     return {r.word: r.n for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
 def prefix_table(templates: list[tuple[str, str]], order: dict[str, int], threshold: float) -> list[tuple]:
-    """(word, template, label, place, size, needed, words) for the prefix of each template."""
+    """(rank, label, size, needed, words in a block, ranks) for each word of the prefix of each template."""
     rows = []
-    for t, (label, notice) in enumerate(templates):
-        words = sorted(set(notice.split()), key=order.__getitem__)
-        needed = max(1, math.ceil(round(threshold * len(words), 9)))
-        rows += [(w, t, label, i, len(words), needed, words) for i, w in enumerate(words[: len(words) - needed + 1])]
+    for label, notice in templates:
+        ranks = sorted(order[w] for w in set(notice.split()))
+        needed = needed_words(notice, threshold)
+        rows += [(r, label, len(ranks), needed, block_words(notice, threshold), ranks) for r in ranks[: len(ranks) - needed + 1]]
     return rows
 
 
-def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, row, block, label, containment): every line that meets a template's threshold, once for each."""
-    templates = TEMPLATES if templates is None else templates
-    vocabulary = sorted({w for _, notice in templates for w in notice.split()})
-    counts = frequencies(docs, vocabulary)
-    ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    schema = "word string, template int, label string, place int, size int, needed int, words array<string>"
-    rows = prefix_table(templates, {w: i for i, w in enumerate(ordered)}, threshold)
-    prefixes = docs.sparkSession.createDataFrame(rows, schema)
-    text = ascii_lower(whole(F.col("text")))
-    starts = strings(sorted({r[0] for r in rows}))
-    lines = docs.where(F.arrays_overlap(F.split(text, WORD_BREAK), starts)).select(
-        id_key(F.col("doc_id")).alias("id"), row_key(F.col("text")).alias("row"), F.posexplode(F.split(text, "\n")).alias("block", "line")
+def possible_places(words: Column, held: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """Places and words of all template words, if the text holds enough of any template anywhere; else null."""
+    vocabulary = strings(sorted({w for _, notice in templates for w in notice.split()}))
+    enough = F.lit(False)
+    for _, notice in templates:
+        enough = enough | (F.size(F.array_intersect(held, strings(sorted(set(notice.split()))))) >= needed_words(notice, threshold))
+    found = F.transform(words, lambda w, i: F.when(F.array_contains(vocabulary, w), F.struct(i.alias("i"), w.alias("w"))))
+    return F.when(enough, F.array_compact(found))
+
+
+def matches(read: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(id, row, label, containment): the best block for each template word of a prefix that a text holds."""
+    counts = frequencies(read)
+    vocabulary = {w for _, notice in templates for w in notice.split()}
+    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+    rows = prefix_table(templates, order, threshold)
+    prefixes = read.sparkSession.createDataFrame(rows, "rank int, label string, size int, needed int, most int, ranks array<int>")
+    rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    placed = read.where("places IS NOT NULL").select(
+        "id", "row", F.transform("places", lambda p: F.struct(p["i"].alias("i"), F.element_at(rank_of, p["w"]).alias("r"))).alias("places")
+    )
+    starts = F.array(*[F.lit(r) for r in sorted({row[0] for row in rows})])
+    reach = max(row[4] for row in rows)
+    # Each shared word with the template words near it: at most ``reach`` on either side, one at a place.
+    around = F.transform(
+        "places",
+        lambda p, j: F.when(
+            F.array_contains(starts, p["r"]),
+            F.struct(p["i"].alias("i"), p["r"].alias("rank"), F.slice("places", F.greatest(j - reach + 2, F.lit(1)), F.lit(2 * reach)).alias("near")),
+        ),
     )
-    # Two steps: blocks without a word of any prefix go before the rest is put in order.
-    blocks = lines.withColumn("held", F.array_intersect(F.split("line", WORD_BREAK), strings(vocabulary)))
-    blocks = blocks.where(F.arrays_overlap("held", starts)).select(
-        "id", "row", "block", let(F.col("held"), lambda held: F.filter(strings(ordered), lambda w: F.array_contains(held, w))).alias("set")
+    shared = placed.select("id", "row", F.explode(F.array_compact(around)).alias("s")).select("id", "row", "s.i", "s.rank", "s.near")
+    found = shared.join(F.broadcast(prefixes), "rank")
+    common = F.filter("near", lambda p: F.array_contains(F.col("ranks"), p["r"]) & (F.abs(p["i"] - F.col("i")) < F.col("most")))
+    found = found.select("id", "row", "label", "size", "needed", "most", "i", "rank", common.alias("common"))
+    # Length, and position: the first common word of a block has all others behind it in the order.
+    behind = F.array_distinct(F.transform(F.filter("common", lambda p: p["r"] >= F.col("rank")), lambda p: p["r"]))
+    found = found.where(F.size(behind) >= F.col("needed"))
+    # A block is best begun at a common word; those that hold the shared one.
+    begun = F.filter("common", lambda p: p["i"] <= F.col("i"))
+    held = F.transform(
+        begun,
+        lambda b: F.size(F.array_distinct(F.transform(F.filter("common", lambda p: p["i"].between(b["i"], b["i"] + F.col("most") - 1)), lambda p: p["r"]))),
     )
-    placed = blocks.select("id", "row", "block", "set", F.posexplode("set").alias("j", "word"))
-    found = placed.join(F.broadcast(prefixes), "word")
-    found = found.where(F.size("set") >= F.col("needed"))
-    found = found.where(1 + F.least(F.col("size") - F.col("place") - 1, F.size("set") - F.col("j") - 1) >= F.col("needed"))
-    # A pair's first common word is enough: earlier words of the template that the block holds would have matched before.
-    first = ~F.arrays_overlap(F.slice("set", 1, F.col("j")), F.slice("words", 1, F.col("place")))
-    common = F.size(F.array_intersect("set", "words"))
-    verified = found.where(first & (common >= F.col("needed")))
-    return verified.select("id", "row", "block", "label", (common / F.col("size")).alias("containment"))
+    verified = found.select("id", "row", "label", "size", "needed", F.array_max(held).alias("n")).where("n >= needed")
+    return verified.select("id", "row", "label", (F.col("n") / F.col("size")).alias("containment"))
 
 
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
@@ -109,27 +136,7 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
         there = _all([F.array_contains(words, p) for p in parts])
         return F.when(there, F.filter(at, lambda i: F.coalesce(whole_phrase(i), F.lit(False)))).otherwise(F.array().cast("array<int>"))
 
-    return F.array(*[places(p) for p in phrases])
-
-
-def window_shares(words: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
-    """(label, share) of each template that a window of its length meets: the best containment of a window."""
-    vocabulary = sorted({w for _, notice in templates for w in notice.split()})
-
-    def shares(held: Column) -> Column:
-        found = []
-        for label, notice in templates:
-            distinct = sorted(set(notice.split()))
-            wanted, length = strings(distinct), len(notice.split())
-            needed = max(1, math.ceil(round(threshold * len(distinct), 9)))
-            begins = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(wanted, F.get(words, i)))  # noqa: B023
-            common = F.transform(begins, lambda i: F.size(F.array_intersect(F.slice(words, i + 1, F.lit(length)), wanted)))  # noqa: B023
-            met = F.filter(common, lambda c: c >= needed)  # noqa: B023
-            best = F.when(F.size(F.array_intersect(held, wanted)) >= needed, F.array_max(met))
-            found.append(F.struct(F.lit(label).alias("label"), (best / len(distinct)).alias("share")))
-        return F.filter(F.array(*found), lambda x: x["share"].isNotNull())
-
-    return let(F.array_intersect(words, strings(vocabulary)), shares)
+    return F.array(*[places(p) for p in phrases]).cast("array<array<int>>")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -146,38 +153,44 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     The base: all places where a phrase's words stand consecutively, over line
     ends too; first_word and last_word are the smallest and largest start of a
     place, words counted from 0, null without one. ``labels`` adds those of
-    templates that a line of the text (see ``matches``) or a window over line ends
-    (see ``window_shares``) meets. ``score`` is the best containment of such a line
-    or window, 1 with a phrase, 0 with neither. Labels are
+    templates that a block of the text meets (see the module). ``score`` is the best
+    containment of such a block, 1 with a phrase, 0 with neither. Labels are
     distinct, sorted and comma-joined; none: empty. Null and empty texts have no
-    words. Equal rows stay separate rows, doc_id may be null.
+    words. Equal rows stay separate rows, doc_id may be null, an empty table stays
+    empty; other columns are not read.
     """
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
-    labels = list(phrases.values())
-    windows = (lambda w: window_shares(w, templates, threshold)) if templates else (lambda w: F.array().cast("array<struct<label:string,share:double>>"))
-    places = let(
-        words_of(whole(F.col("text"))),
-        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), phrase_places(w, phrases).alias("at"), windows(w).alias("windows")),
-    )
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), places.alias("p"))
+    vocabulary = strings(sorted({w for _, notice in templates for w in notice.split()}))
+
+    def read_words(w: Column) -> Column:
+        held = F.array_intersect(w, vocabulary)
+        places = let(held, lambda h: F.struct(h.alias("held"), possible_places(w, h, templates, threshold).alias("places")))
+        return F.struct(F.size(w).cast("long").alias("n_words"), phrase_places(w, phrases).alias("at"), places.alias("t"))
+
+    text = F.col("text")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(text).alias("row"), let(words_of(whole(text)), read_words).alias("p"))
     everywhere = F.flatten("p.at")
-    base = base.select(
-        "doc_id",
-        "row",
-        F.col("p.n_words").alias("n_words"),
-        F.size(everywhere).cast("long").alias("n_base"),
-        F.array_min(everywhere).cast("long").alias("first_word"),
-        F.array_max(everywhere).cast("long").alias("last_word"),
-        F.array_compact(
-            F.array(*[F.when(F.size(F.col("p.at")[i]) > 0, label) for i, label in enumerate(labels)], F.lit(None).cast("string"))
-        ).alias("base"),
-        F.col("p.windows").alias("windows"),
+    labelled = [F.when(F.size(F.col("p.at")[i]) > 0, label) for i, label in enumerate(phrases.values())]
+    read = settled(
+        read.select(
+            "doc_id",
+            id_key(F.col("doc_id")).alias("id"),
+            "row",
+            F.col("p.n_words").alias("n_words"),
+            F.size(everywhere).cast("long").alias("n_base"),
+            F.array_min(everywhere).cast("long").alias("first_word"),
+            F.array_max(everywhere).cast("long").alias("last_word"),
+            F.array_compact(F.array(*labelled, F.lit(None).cast("string"))).alias("base"),
+            F.col("p.t.held").alias("held"),
+            F.col("p.t.places").alias("places"),
+        )
     )
-    met = matches(docs, templates, threshold).groupBy("id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    met = met.select(F.col("id").alias("m_id"), F.col("row").alias("m_row"), "more", "best")
-    joined = base.join(met, (id_key(F.col("doc_id")) == F.col("m_id")) & (F.col("row") == F.col("m_row")), "left")
-    more = F.coalesce("more", F.array().cast("array<string>"))
+    if templates:
+        met = matches(read, templates, threshold).groupBy("id", "row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+        joined = read.join(met, ["id", "row"], "left")
+    else:
+        joined = read.select("*", F.lit(None).cast("array<string>").alias("more"), F.lit(None).cast("double").alias("best"))
     joined_labels = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return joined.select(
         "doc_id",
@@ -186,6 +199,6 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
         "first_word",
         "last_word",
         joined_labels(F.col("base")).alias("base_labels"),
-        joined_labels(F.concat("base", more, F.col("windows.label"))).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.greatest("best", F.array_max("windows.share")), F.lit(0.0))).alias("score"),
+        joined_labels(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
