@@ -1,17 +1,22 @@
 """Quality rules whose cutoffs come with a guarantee on good documents, in DataFrame functions only.
 
-Each rule rejects texts with too much of something. Labelled documents that no
-rule was made from are the holdout: in every stratum (language), a cutoff is
-certified if an exact binomial test rules out, at the corrected level, that it
-rejects more than the allowed share of good documents. Levels are shared out
-over strata and rules (Bonferroni); within a rule, cutoffs are tested in a fixed
-order from the loosest on and the first failure ends it, which needs no further
-correction. Where nothing is certified a rule rejects nothing.
+Each rule rejects texts with too much of something. Labelled documents are dealt in
+two halves by their id. The bad ones of the first half propose cutoffs in every
+stratum (language): those that reject a given share of them, loosest first. The
+good ones of the second half certify them: a cutoff holds if an exact binomial test
+rules out, at the corrected level, that it rejects more than the allowed share
+of good documents. Levels are shared out over strata and rules (Bonferroni);
+within a rule the first failure ends the sequence, whose order doesn't depend on
+the half that tests it, so no further correction is due. Where nothing is certified
+a rule rejects nothing.
+
+Figures are measured once for each document and settled. Cutoffs and counts come
+from histograms of them over all labels, in bins of a thousandth of the logarithm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, let, settled, whole
@@ -26,15 +31,18 @@ FALSE_REJECTION = 0.1
 ERROR = 0.1
 #: So many good labelled documents or fewer certify no cutoff at any level.
 TOO_FEW = 100
-#: Rules and their cutoffs, loosest first; a text above the cutoff is rejected.
-RULES: dict[str, list[float]] = {
-    "symbol_share": [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08],
-    "upper_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3],
-    "mark_rate": [3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4],
-    "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4],
-    "repeat_share": [0.29, 0.27, 0.25, 0.22, 0.2],
-    "mean_word": [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0],
-}
+#: Figures that are too large in texts to reject.
+RULES = ("symbol_share", "upper_share", "mark_rate", "dup_line_share", "repeat_share", "mean_word")
+#: Shares of the bad documents that proposed cutoffs reject. The least is some times what a
+#: rule may reject of the good ones, so that a rule which can't tell them apart fails at once.
+SHARES = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Cutoffs of more strata than this aren't broadcast.
+BROADCAST_STRATA = 100_000
+
+
+def bin_of(figure: Column) -> Column:
+    """The number of a figure's bin; all that a rule compares."""
+    return F.floor(F.log1p(figure) * 1000).cast("int")
 
 
 def words_of(text: Column) -> Column:
@@ -88,7 +96,7 @@ def measures(docs: DataFrame, *carried: Column) -> DataFrame:
         F.regexp_count(text, F.lit("[A-Z]")).alias("__u"),
         F.regexp_count(text, F.lit("[!?]")).alias("__m"),
     )
-    names = [c for c in counted.columns if not c.startswith("__")]
+    names = counted.columns[: len(carried)]
 
     def share(a: str, b: str) -> Column:
         return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
@@ -123,39 +131,53 @@ def tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, n_good, <rule>...): the strictest certified cutoff of each rule, null where none is.
+    """(stratum, n_good, <rule>...): the bin over which each rule rejects, null where no cutoff is certified.
 
-    Calibrates on all documents labelled ``quality`` = 1; a document with several
-    labels counts as its lowest. Strata of ``TOO_FEW`` of them or fewer certify
-    nothing and aren't tested.
+    Calibrates on all labelled documents that pass the base rules; a document with
+    several labels counts as its lowest. ``n_good`` are those that certify. Strata of
+    ``TOO_FEW`` of them or fewer certify nothing and aren't tested; strata without a
+    certified cutoff have no row.
     """
-    good = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-        .groupBy(F.col("doc_id").cast("long").alias("__id"))
-        .agg(F.min("quality").alias("q"))
-        .where("q = 1")
-        .select("__id")
+    return _certified(measures(docs, F.col("doc_id").cast("long").alias("of_id"), stratum(F.col("lang")).alias("stratum")), labels)
+
+
+def _certified(figures: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cutoffs`` from measured figures with of_id and stratum."""
+    marked = (
+        labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
+        .groupBy(F.col("doc_id").cast("long").alias("of_id"))
+        .agg(F.min("quality").alias("good"))
     )
-    # An inner join stays above the measures, so that figures are dealt out, not texts; ids in ``good`` are distinct.
-    figures = measures(docs, F.col("doc_id").cast("long").alias("of_id"), stratum(F.col("lang")).alias("stratum"))
-    found = figures.join(good, F.col("of_id") == F.col("__id"))
-    passed = ~base_failed()
-    counts = [F.count_if(passed & (F.col(rule) > c)).alias(f"{rule}_{i}") for rule, cs in RULES.items() for i, c in enumerate(cs)]
-    counted = found.groupBy("stratum").agg(F.count_if(passed).alias("n_good"), *counts)
-    counted = settled(counted.where(F.col("n_good") > TOO_FEW))
-    level = ERROR / len(RULES) / max(1, counted.count())
-    chosen = []
-    for rule, cs in RULES.items():
-        passed = F.array(*[tail(F.col(f"{rule}_{i}"), F.col("n_good"), FALSE_REJECTION / len(RULES)) <= level for i in range(len(cs))])
-        run = F.aggregate(
-            passed,
-            F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")),
-            lambda a, ok: F.struct((a["on"] & ok).alias("on"), (a["n"] + (a["on"] & ok).cast("int")).alias("n")),
-            lambda a: a["n"],
-        )
-        chosen.append(F.when(run > 0, F.get(F.array(*map(F.lit, cs)), run - 1)).alias(rule))
-    table = counted.select("stratum", "n_good", *chosen)
-    return table.where(F.coalesce(*RULES).isNotNull())
+    bins = F.array(*[F.struct(F.lit(rule).alias("rule"), bin_of(F.col(rule)).alias("bin")) for rule in RULES])
+    proposes = F.pmod(F.xxhash64("of_id", F.lit(3)), F.lit(2)) == 0
+    found = figures.where(~base_failed()).join(marked, "of_id").select("stratum", "good", proposes.alias("proposes"), F.explode(bins).alias("b"))
+    counted = found.groupBy("stratum", "b.rule", "b.bin").agg(
+        F.count_if((F.col("good") == 0) & F.col("proposes")).alias("bad"), F.count_if((F.col("good") == 1) & ~F.col("proposes")).alias("good")
+    )
+    in_rule = Window.partitionBy("stratum", "rule")
+    above = in_rule.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    summed = counted.select(
+        "stratum",
+        "rule",
+        "bin",
+        F.coalesce(F.sum("bad").over(above), F.lit(0)).alias("bad_above"),
+        F.coalesce(F.sum("good").over(above), F.lit(0)).alias("good_above"),
+        F.sum("bad").over(in_rule).alias("n_bad"),
+        F.sum("good").over(in_rule).alias("n_good"),
+    )
+    summed = settled(summed.where((F.col("n_good") > TOO_FEW) & (F.col("n_bad") > 0)))
+    strata = summed.select("stratum").distinct().count()
+    level = ERROR / len(RULES) / max(1, strata)
+    # The loosest cutoff for each share: the largest bin over which that share of the bad ones lies.
+    proposed = summed.withColumn("share", F.explode(F.array(*map(F.lit, SHARES)))).where(F.col("bad_above") >= F.col("share") * F.col("n_bad"))
+    loosest = F.max_by(F.struct("bin", "good_above"), "bin").alias("c")
+    proposed = proposed.groupBy("stratum", "rule", "n_good", "share").agg(loosest)
+    passed = tail(F.col("c.good_above"), F.col("n_good"), FALSE_REJECTION / len(RULES)) <= level
+    tested = proposed.select("stratum", "rule", "n_good", "share", F.col("c.bin").alias("bin"), passed.alias("passed"))
+    run = F.min(F.col("passed").cast("int")).over(Window.partitionBy("stratum", "rule").orderBy("share"))
+    held = tested.withColumn("run", run).where("run = 1")
+    table = held.groupBy("stratum").agg(F.max("n_good").alias("n_good"), *[F.min(F.when(F.col("rule") == r, F.col("bin"))).alias(r) for r in RULES])
+    return settled(table)
 
 
 def stratum(lang: Column) -> Column:
@@ -172,17 +194,18 @@ def judge(docs: DataFrame, labels: DataFrame, *carried: Column) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+``. A text fails the base rules with fewer than 20
     words, or if over 30 % of its words stand in 8-word windows that occur twice or
     more in it; null and empty texts have no words and fail. Of the rest, ``kept``
-    is false where a rule's figure is above the cutoff that ``cutoffs`` certifies
+    is false where a rule's figure is over the cutoff that ``cutoffs`` certifies
     for the document's stratum, its ``lang`` (null: a stratum of its own). Without
-    labels, or with too few, only the base rules reject. Equal rows stay separate.
+    labels, or with too few, only the base rules reject. Equal rows stay separate,
+    an empty table stays empty; ``carried`` columns can have any name but those above.
     """
-    limits = cutoffs(docs, labels).select(
-        F.col("stratum").alias("__stratum"), *[F.col(r).alias(f"__{r}") for r in RULES]
-    )
-    found = measures(docs, *carried, stratum(F.col("lang")).alias("_stratum"))
-    found = found.join(F.broadcast(limits), F.col("_stratum") == F.col("__stratum"), "left")
+    figures = settled(measures(docs, *carried, F.col("doc_id").cast("long").alias("__of_id"), stratum(F.col("lang")).alias("__in")))
+    limits = _certified(figures.select(F.col("__of_id").alias("of_id"), F.col("__in").alias("stratum"), "n_words", "n_repeat_words", *RULES), labels)
+    limits = limits.select(F.col("stratum").alias("__stratum"), *[F.col(r).alias(f"__{r}") for r in RULES])
+    small = limits.count() <= BROADCAST_STRATA
+    found = figures.join(F.broadcast(limits) if small else limits, F.col("__in") == F.col("__stratum"), "left")
     over = F.lit(False)
     for rule in RULES:
-        over = over | F.coalesce(F.col(rule) > F.col(f"__{rule}"), F.lit(False))
-    names = [c for c in found.columns if c not in (*RULES, "_stratum") and not c.startswith("__")]
+        over = over | F.coalesce(bin_of(F.col(rule)) > F.col(f"__{rule}"), F.lit(False))
+    names = [c for c in found.columns if c not in RULES and not c.startswith("__")]
     return found.select(*names, base_failed().alias("base_failed"), (~base_failed() & ~over).alias("kept"))
