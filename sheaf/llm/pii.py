@@ -3,11 +3,12 @@
 What is found is validated (checksums, calendar, ranges) and then permuted under
 a key within its own format by a Feistel network: the value's symbols are cut in
 two halves, and in every round each symbol of one half is shifted, modulo the
-size of its class, by a key stream made from the other half. Equal values get
-equal pseudonyms in all documents, different values of one kind and layout get
-different ones, and with the key it can be undone. Dates are permuted as day
-numbers and walk the cycle until they are in the calendar range again; check
-digits are computed anew.
+size of its class, by a key stream made from the other half. What is permuted is
+the bare value, without spaces, signs and case, and it is laid out afterwards:
+equal values get equal pseudonyms in all documents, however they are written.
+Different values of one kind and layout get different ones, and with the key it
+can be undone. Dates are permuted as day numbers and walk the cycle until they are
+in the calendar range again; check digits are computed anew.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ KINDS = {
     "secret": r"(?i:\b(?:access[_-]?token|auth[_-]?token|token|secret|password|passwd|pwd|api[_-]?key|secret[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_\-+/.]{6,}+)",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./\-][0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?:[23][0-9A-Fa-f]{3}|[fF][c-eC-E][0-9A-Fa-f]{2})(?:(?::[0-9A-Fa-f]{1,4}){7}|(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
 }
@@ -95,24 +97,23 @@ def feistel(numbers: Column, sizes: Column, key: str, tweak: Column, undo: bool
 
 
 def symbols_permuted(value: Column, key: str, tweak: Column, hexadecimal: Column, undo: bool = False) -> Column:
-    """A string permuted within its layout: every digit stays a digit, letters keep their case, the rest stays."""
+    """A string permuted within its layout: every digit stays a digit, letters keep their case, the rest stays.
+
+    Signs between and the case of letters don't count, so values that differ in them only stay equal but for them.
+    """
 
     def permuted(v: Column) -> Column:
         cs = F.filter(F.split(v, ""), lambda c: c.rlike("^[0-9A-Za-z]$"))
         # What can't move doesn't take part, so that both halves hold symbols that do.
         bound = let(
             F.struct(cs.alias("c"), _sizes(cs, hexadecimal).alias("s")),
-            lambda b: F.struct(b["c"].alias("c"), feistel(F.transform(b["c"], lambda c: F.ascii(c) - _base(c)), b["s"], key, F.concat_ws(":", tweak, layout(v)), undo).alias("n")),
+            lambda b: F.struct(b["c"].alias("c"), feistel(F.transform(b["c"], lambda c: F.ascii(c) - _base(c)), b["s"], key, tweak, undo).alias("n")),
         )
         return let(bound, lambda b: _laid_out(v, F.zip_with(b["c"], b["n"], lambda c, n: F.char(_base(c) + n))))
 
     return let(value, permuted)
 
 
-def layout(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
-
-
 def _laid_out(value: Column, moved: Column) -> Column:
     """``value`` with its letters and digits replaced, in order, by ``moved``."""
     gaps = F.split(value, "[0-9A-Za-z]")
@@ -207,15 +208,51 @@ def mod97(value: Column) -> Column:
 
 
 def iban_pseudonym(value: Column, key: str, undo: bool = False) -> Column:
-    """The account part permuted, and the check digits made anew; null where they are wrong."""
+    """The account part permuted, and the check digits made anew, with or without spaces; null where they are wrong.
+
+    A number in groups may be followed by a group of another meaning: the longest run
+    of groups from the first one with valid check digits counts.
+    """
+
+    def bare(v: Column) -> Column:
+        return F.replace(v, F.lit(" "), F.lit(""))
+
+    def valid(v: Column) -> Column:
+        return mod97(F.concat(F.substring(bare(v), F.lit(5), F.char_length(v)), F.substring(v, 1, 4))) == 1
 
     def made(v: Column) -> Column:
         country = F.substring(v, 1, 2)
-        body = symbols_permuted(F.substring(v, F.lit(5), F.char_length(v)), key, F.concat(F.lit("iban"), country), F.lit(False), undo)
-        return let(body, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+        body = symbols_permuted(F.substring(bare(v), F.lit(5), F.char_length(v)), key, F.concat(F.lit("iban"), country), F.lit(False), undo)
+        full = let(body, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+        return _laid_out(v, F.split(full, ""))
+
+    def longest(groups: Column) -> Column:
+        heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+        return F.get(F.filter(heads, lambda h: (F.char_length(bare(h)) >= 15) & valid(h)), F.lit(0))
+
+    def laid_out(head: Column) -> Column:
+        return F.concat(made(head), F.substring(value, F.char_length(head) + 1, F.char_length(value)))
+
+    return let(longest(F.split(value, " ")), lambda head: F.when(head.isNotNull(), laid_out(head)))
+
+
+def ip6_pseudonym(value: Column, key: str, undo: bool = False) -> Column:
+    """The first group and seven permuted ones, written out in full; null where there are too many or too few groups."""
+
+    def groups(half: Column) -> Column:
+        return F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
+
+    def numbers(h: Column) -> Column:
+        left, right = groups(F.get(h, F.lit(0))), groups(F.get(h, F.lit(1)))
+        n = F.size(left) + F.size(right)
+        filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
+        return F.when(F.when(F.size(h) == 2, n <= 7).otherwise(n == 8), F.transform(filled, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    def moved(n: Column) -> Column:
+        rest = feistel(F.slice(n, 2, 7), F.array_repeat(F.lit(65536), 7), key, F.lit("ip6"), undo)
+        return F.array_join(F.transform(F.concat(F.slice(n, 1, 1), rest), lambda x: F.lower(F.hex(x))), ":")
 
-    turned = F.concat(F.substring(value, F.lit(5), F.char_length(value)), F.substring(value, 1, 4))
-    return F.when(mod97(turned) == 1, let(value, made))
+    return let(numbers(F.split(value, "::")), lambda n: F.when(n.isNotNull(), moved(n)))
 
 
 def ip_pseudonym(value: Column, key: str, undo: bool = False) -> Column:
@@ -231,7 +268,7 @@ def date_pseudonym(value: Column, key: str, undo: bool = False) -> Column:
         sizes = F.array(F.lit(LEFT), F.lit(RIGHT))
 
         def once(n: Column) -> Column:
-            out = feistel(F.array((n / RIGHT).cast("long"), F.pmod(n, F.lit(RIGHT))), sizes, key, F.concat(F.lit("date"), p["f"]), undo)
+            out = feistel(F.array((n / RIGHT).cast("long"), F.pmod(n, F.lit(RIGHT))), sizes, key, F.lit("date"), undo)
             return let(out, lambda o: o[0] * RIGHT + o[1])
 
         walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(p["n"]), lambda a, _: F.when(a < DAYS, a).otherwise(once(a)))
@@ -284,6 +321,7 @@ def pseudonym(found: Column, key: str, undo: bool = False) -> Column:
         .when(is_("iban"), iban_pseudonym(found, key, undo))
         .when(is_("date"), date_pseudonym(found, key, undo))
         .when(is_("ip"), ip_pseudonym(found, key, undo))
+        .when(is_("ip6"), ip6_pseudonym(found, key, undo))
         .when(is_("phone") & n_digits.between(8, 15), F.concat(lead, symbols_permuted(F.substring(found, F.char_length(lead) + 1, F.char_length(found)), key, F.lit("phone"), plain, undo)))
         .when(is_("ssn"), symbols_permuted(found, key, F.lit("ssn"), plain, undo))
     )
@@ -293,13 +331,15 @@ def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     """``docs`` with ``text`` replaced, and n_found (long): the values that have a pseudonym now.
 
     Found are secrets after a name such as ``token =``, access keys, e-mail
-    addresses, account numbers with valid check digits, dates of the calendar
-    from 1900 to 2099, IPv4 addresses, telephone numbers of 8 to 15 digits, social
+    addresses, account numbers with valid check digits, in groups of four too, dates
+    of the calendar from 1900 to 2099, IPv4 addresses, IPv6 addresses that a host
+    can have (written out in full afterwards), telephone numbers of 8 to 15 digits, social
     security numbers of assigned ranges, and card numbers with a valid checksum,
     beside other numbers too.
     What fails validation stays as it is. ``undo`` turns pseudonyms back, where
     permuting doesn't make another kind of value of them. Null texts become
-    empty, other columns pass through.
+    empty, other columns pass through, ids may be null. Each row is one on its own:
+    equal rows stay separate and equal, an empty table stays empty.
     """
     text = whole(F.col("text"))
 
