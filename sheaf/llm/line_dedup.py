@@ -20,37 +20,33 @@ from .common import BLANKS, ascii_lower, id_key, let, row_key, settled, whole
 HEAVY_SHARE = 4096
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return ascii_lower(F.trim(line, F.lit(BLANKS)))
-
-
 def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, row, pos, k1, k2) of every line whose key is long enough."""
-    lines = docs.select(
-        id_key(F.col("doc_id")).alias("id"),
-        row_key(F.col("text")).alias("row"),
-        F.posexplode(F.split(whole(F.col("text")), "\n")).alias("pos", "line"),
-    )
-    keyed = lines.select("id", "row", "pos", line_key(F.col("line")).alias("key"))
+    """(id, row, pos, k1, k2) of every line whose key is long enough.
+
+    The key is the line without white space at its ends, with A-Z in lower case.
+    """
+    # What belongs to the whole text is computed before lines are exploded, else it would be for each of them.
+    texts = docs.select(id_key(F.col("doc_id")).alias("id"), row_key(F.col("text")).alias("row"), ascii_lower(whole(F.col("text"))).alias("text"))
+    lines = texts.select("id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keyed = lines.select("id", "row", "pos", F.trim(F.col("line"), F.lit(BLANKS)).alias("key"))
     return keyed.where(F.char_length("key") >= min_chars).select(
         "id", "row", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(7), "key").alias("k2")
     )
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """(k1, k2, keeper, n_docs) of the keys found in ``min_docs`` documents; settled."""
-    by_document = _keyed_lines(docs, min_chars).groupBy("k1", "k2", "id").agg(F.lit(1).alias("one"))
+def repeated_lines(lines: DataFrame, min_docs: int = 2) -> DataFrame:
+    """(k1, k2, keeper, n_docs) of the keys of ``lines`` found in ``min_docs`` documents; settled."""
+    by_document = lines.groupBy("k1", "k2", "id").agg(F.lit(1).alias("one"))
     found = by_document.groupBy("k1", "k2").agg(F.min("id").alias("keeper"), F.count("one").alias("n_docs"))
     return settled(found.where(F.col("n_docs") >= min_docs))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """(id, row, drops): sorted positions of the lines that each document loses."""
-    shared = repeated_lines(docs, min_chars, min_docs)
+    lines = settled(_keyed_lines(docs, min_chars))  # each line is hashed once
+    shared = repeated_lines(lines, min_docs)
     pairs = shared.agg(F.sum("n_docs")).first()[0] or 0
     least = max(1, -(-pairs // HEAVY_SHARE))
-    lines = _keyed_lines(docs, min_chars)
     heavy = shared.where(F.col("n_docs") >= least).select(
         F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("keeper").alias("h_keeper")
     )
