@@ -21,8 +21,8 @@ from . import (
 from .common import table, whole
 
 
-#: For the tables of tests only: a deployment passes its own secret.
-PSEUDONYM_KEY = "key of the test tables"
+#: The session's setting with the key of pseudonyms, and what stands in for it on the tables of tests.
+KEY_SETTING, TEST_KEY = "spark.sheaf.pseudonym.key", "key of the test tables"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, TEST_KEY))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,4 +39,4 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
-    return bpe_op.digests(bpe_op.encoded(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return bpe_op.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))

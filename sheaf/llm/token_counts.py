@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from . import pieces as P
 from ..shipping import ship
 from .common import whole
 
-#: Characters encoded at a time; longer texts are split at safe places.
-BATCH_CHARS = 1 << 20
-#: Lengths remembered in each of two generations, about 100 bytes each.
-MEMO = 700_000
+#: Bytes encoded at a time; longer texts are split at safe places.
+BATCH_BYTES = 1 << 21
+#: Bytes of pieces and lengths remembered in each of two generations.
+MEMO_BYTES = 96 << 20
+#: Pieces encoded in one text.
+JOINED = 2_000
 
 _counters: dict[int, TokenCounter] = {}
 
@@ -34,7 +38,8 @@ class TokenCounter:
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
             self.split = P.splittable(P.load(text))
-            self.memo = P.Memo(lambda keys: self._lengths([" " + k for k in keys]), MEMO)
+            self.memo = P.Memo(self._piece_lengths, MEMO_BYTES)
+            self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         elif kind == "model":
             from sentencepiece import SentencePieceProcessor
 
@@ -49,36 +54,53 @@ class TokenCounter:
             return list(map(len, self.tokenizer.encode(texts, num_threads=1)))
         return list(map(len, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
 
-    def counts(self, texts: list[str], batch_chars: int = BATCH_CHARS) -> list[int]:
-        """Tokens of each text. Equal pieces of a batch are encoded once."""
+    def _piece_lengths(self, keys: list[bytes]) -> list[int]:
+        """As _lengths, of pieces; many are encoded in one text, between line feeds."""
+        texts = [k.decode() for k in keys]
         out = [0] * len(texts)
-        if not self.split:
-            at = 0
-            while at < len(texts):  # batches balanced by size, whole texts
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= batch_chars):
-                    size += len(texts[end])
-                    end += 1
-                out[at:end] = self._lengths(texts[at:end])
-                at = end
+        joined = [i for i, t in enumerate(texts) if P.alone(t)] if len(self.line_feed) == 1 else []
+        rest = sorted({*range(len(texts))} - {*joined})
+        for lo in range(0, len(joined), JOINED):
+            part = joined[lo : lo + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == self.line_feed[0]), len(ids))
+            for i, n in zip(part, np.diff(ends, prepend=-1) - 1, strict=True):
+                out[i] = int(n)
+        for i, n in zip(rest, self._lengths([texts[i] for i in rest]), strict=True):
+            out[i] = n
+        return out
+
+    def counts(self, texts: pa.Array, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
+        """Tokens of each text. Equal pieces of a batch are encoded once."""
+        out = np.zeros(len(texts), np.int64)
+        if self.split:
+            for block in P.blocks(texts, batch_bytes):
+                lengths = np.array(self.memo.values(block.keys), np.int64)[block.index.to_numpy()]
+                first = int(block.owner[0])
+                found = np.bincount(block.owner - first, lengths).astype(np.int64)
+                out[first : first + len(found)] += found
             return out
-        for batch in P.balanced(texts, batch_chars):
-            cut = [P.pieces(part) for _, part in batch]
-            known = self.memo.ready(set().union(*(c[1:] for c in cut))).__getitem__
-            firsts = self._lengths([c[0] for c in cut])  # no space stands before these
-            for (i, _), c, first in zip(batch, cut, firsts, strict=True):
-                out[i] += first + sum(map(known, c[1:]))
+        sizes = pc.binary_length(texts).to_numpy()
+        at = 0
+        while at < len(texts):  # batches balanced by bytes, of whole texts
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + sizes[end] <= batch_bytes):
+                size += sizes[end]
+                end += 1
+            out[at:end] = self._lengths(texts.slice(at, end - at).to_pylist())
+            at = end
         return out
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of ``docs``.
 
     ``path``: a vocabulary file of tokenizers (.json) or sentencepiece (.model); its
     content goes to the executors in a broadcast, which the file's size bounds.
     Special strings inside texts are handled as the library's default; nothing is
     truncated or padded. Null and empty texts have no tokens. Equal rows stay
-    separate rows, doc_id may be null.
+    separate rows, doc_id may be null. Texts of a .json file that allows it are cut at
+    safe places into batches of ``batch_bytes``; a .model file gets whole texts.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -91,7 +113,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, batch_chars: int
         if key not in _counters:
             _counters[key] = TokenCounter(content.value, kind)
         for batch in batches:
-            n = _counters[key].counts(batch.column(2).to_pylist(), batch_chars)
+            n = _counters[key].counts(batch.column(2), batch_bytes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = whole(F.col("text"))
