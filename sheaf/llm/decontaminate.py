@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import id_key, whole
+from .common import whole
 from .simhash import bit_table
 
 WIDTH = 5
@@ -48,17 +48,20 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def all_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of every shingle of WIDTH words; of all words if there are fewer.
+    """A 64-bit hash of every shingle of WIDTH words; of all words if there are fewer."""
+    return folded_hashes(word_hashes(words), min(WIDTH, len(words)))
 
-    Each word is hashed once; the hashes of a shingle's words are folded by an odd
-    multiplier and mixed.
-    """
-    n = len(words)
-    if not n:
+
+def folded_hashes(each: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` words: theirs are folded by an odd multiplier and mixed."""
+    n = len(each)
+    if not 0 < width <= n:
         return np.zeros(0, np.uint64)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    width = min(WIDTH, n)
     folded = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         folded *= FOLD
@@ -75,6 +78,13 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
+def _hits(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places of ``hashes`` that are in the sorted ``known``."""
+    if not len(known) or not len(hashes):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+
+
 class ItemIndex:
     """Items by length in shingles, each length with its block tables."""
 
@@ -85,11 +95,15 @@ class ItemIndex:
             raise ValueError("too few blocks for one differing bit in one of them")
         self.of_length: dict[tuple[int, int], dict] = {}
         grouped = defaultdict(list)
+        short = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = words_of(text)
-            if words:
-                hashes = all_hashes(words)
-                grouped[len(words)].append((item_id, hashes))
+            if 0 < len(words) < WIDTH:
+                short[len(words)][int(all_hashes(words)[0])].append(item_id)
+            elif words:
+                grouped[len(words)].append((item_id, all_hashes(words)))
+        #: Items of fewer words than a shingle, by their number of words.
+        self.short = {n: (np.array(sorted(found), np.uint64), dict(found)) for n, found in short.items()}
         lengths_of: dict[int, set] = defaultdict(set)
         for n_words, group in grouped.items():
             for _, hashes in group:
@@ -126,18 +140,19 @@ class ItemIndex:
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of the best window of each item found."""
         words = words_of(text)
-        if not words:
-            return []
-        hashes = all_hashes(words)
-        at = np.searchsorted(self.known, hashes)
-        hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == hashes) if len(self.known) else []
+        each = word_hashes(words)
+        best: dict[int, tuple[int, float, int, int]] = {}
+        for width, (known, of_hash) in self.short.items():  # one shingle each: similar is equal
+            runs = folded_hashes(each, width)
+            for p in _hits(runs, known).tolist():
+                for item_id in of_hash[int(runs[p])]:
+                    best.setdefault(item_id, (item_id, 1.0, p, width))
+        hashes = folded_hashes(each, WIDTH)  # a shorter text has no shingle of a longer item
         starts = defaultdict(set)
-        for p in hits.tolist() if len(hits) else []:
+        for p in _hits(hashes, self.known).tolist():
             for n_words in self.lengths_of[int(hashes[p])]:
-                n = min(max(1, n_words - WIDTH + 1), len(hashes))
-                if n_words >= WIDTH or len(words) == n_words:
-                    starts[n_words].update(range(max(0, p - n + 1), min(p, len(hashes) - n) + 1))
-        best: dict[int, tuple[int, float, int, int]] = {}
+                n = min(n_words - WIDTH + 1, len(hashes))
+                starts[n_words].update(range(max(0, p - n + 1), min(p, len(hashes) - n) + 1))
         for n_words, found in starts.items():
             ordered = np.array(sorted(found))
             for lo in range(0, len(ordered), STEP):
@@ -147,7 +162,7 @@ class ItemIndex:
         return sorted(best.values())
 
     def _windows(self, hashes: np.ndarray, n_words: int, starts: np.ndarray, threshold: float) -> Iterator[tuple[int, float, int]]:
-        group, n = self.of_length[n_words], min(max(1, n_words - WIDTH + 1), len(hashes))
+        group, n = self.of_length[n_words], min(n_words - WIDTH + 1, len(hashes))
         low = int(starts[0])
         used, at = np.unique((starts[:, None] - low + np.arange(n)).ravel(), return_inverse=True)
         table = bit_table(hashes[low + used]).astype(np.int16)
@@ -193,7 +208,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> D
     window, its place in words from 0; the earliest of equals). A document shorter
     than the item is one window, with the document's own number of words. Texts are
     lower-cased A-Z and cut at ``[\\x20\\x09-\\x0D]``. An item of fewer than five
-    words is one shingle and only matches a document of just these words; items
+    words is one shingle and is found wherever these words stand side by side; items
     without words or without an id match none. Null and empty texts hold none.
     Rows that share a doc_id are one document. Null doc_ids are kept as one.
     """
@@ -224,8 +239,18 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> D
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no item; all columns pass through."""
-    held = leaks(docs, items, threshold).select(id_key(F.col("doc_id")).alias("__id")).distinct()
-    keyed = docs.select(id_key(F.col("doc_id")).alias("__id"), F.struct("*").alias("__doc"))
-    kept = keyed.join(held, "__id", "left_anti")
-    return kept.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
+    """The rows of ``docs`` whose text holds no item (see ``leaks``); all columns pass through.
+
+    Each row is judged by its own text where it is read, nothing is shuffled. Rows
+    with a null or empty text stay, equal rows stay or go together.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    for block in _item_blocks(items):
+        index = spark.sparkContext.broadcast(ItemIndex(block))
+
+        def held(texts: pa.Array, index=index) -> pa.Array:
+            return pa.array([bool(index.value.matches(text.as_py(), threshold)) for text in texts], pa.bool_())
+
+        docs = docs.where(~F.arrow_udf(held, "boolean")(F.col("text")))
+    return docs

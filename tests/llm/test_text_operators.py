@@ -219,8 +219,8 @@ def test_counts_of_other_vocabularies(spark):
 def test_decontamination_finds_every_similar_window(spark, texts):
     draw = random.Random(9)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 8, 15, 20, 30, 30, 59])] + [(90, ""), (91, None), (None, "a b c d e f")]
-    docs = [t or "" for t in texts]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 8, 15, 20, 30, 30, 59])] + [(80, "what is seven times"), (81, "Seven")] + [(90, ""), (91, None), (None, "a b c d e f")]
+    docs = [t or "" for t in texts] + ["Question: what is seven times six? answer", "what is  SEVEN", "one two what is seven\ntimes"]
     for item in items[:7] * 6:
         w = item[1].split()
         for _ in range(draw.randrange(3)):
@@ -235,18 +235,24 @@ def test_decontamination_finds_every_similar_window(spark, texts):
     for d, text in enumerate(docs):
         w = text.translate(LOWER).split()
         for i, item in items:
-            v = (item or "").split()
-            if i is None or not v or len(v) > len(w) or (len(v) < 5 and len(v) != len(w)):
+            v = (item or "").translate(LOWER).split()
+            if i is None or not v or not w:
                 continue
-            scored = [(decontaminate.similarity(shingles(v), shingles(w[k : k + len(v)])), -k) for k in range(len(w) - len(v) + 1)]
+            n = min(len(v), len(w))
+            scored = [(decontaminate.similarity(shingles(v), shingles(w[k : k + n])), -k) for k in range(len(w) - n + 1)]
             if (best := max(scored))[0] >= 0.8:
-                want[d, i] = (round(best[0], 9), -best[1], len(v))
+                want[d, i] = (round(best[0], 9), -best[1], n)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, similarity string")
     rows = decontaminate.leaks(documents(spark, docs), bench).collect()
     assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.n_words) for r in rows} == want and len(want) > 20
+    assert sum(i == 80 for _, i in want) == 2 and sum(i == 81 for _, i in want) == 3
     kept = {r.doc_id for r in decontaminate.clean(documents(spark, docs), bench).collect()}
     assert kept == set(range(len(docs))) - {d for d, _ in want}
     assert decontaminate.leaks(documents(spark, docs), bench.limit(0)).count() == 0
+    nulls = documents(spark, [None, "", items[4][1], items[4][1]], [None, 1, 2, None])
+    cleaned = decontaminate.clean(nulls, bench)
+    assert sorted(str(r.doc_id) for r in cleaned.collect()) == ["1", "None"] and cleaned.columns == nulls.columns
+    assert decontaminate.clean(nulls, bench.limit(0)).count() == 4 and decontaminate.clean(nulls.limit(0), bench).count() == 0
 
 
 def test_decontamination_of_documents_shorter_than_an_item(spark):
