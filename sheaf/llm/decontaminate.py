@@ -17,11 +17,12 @@ each block in one broadcast, and every block is held against all documents.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,10 +248,13 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> D
     spark = docs.sparkSession
     ship(spark)
     for block in _item_blocks(items):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
-
-        def held(texts: pa.Array, index=index) -> pa.Array:
-            return pa.array([bool(index.value.matches(text.as_py(), threshold)) for text in texts], pa.bool_())
-
+        held = _holds(spark.sparkContext.broadcast(ItemIndex(block)), threshold)
         docs = docs.where(~F.arrow_udf(held, "boolean")(F.col("text")))
     return docs
+
+
+def _holds(index: Broadcast, threshold: float) -> Callable[[pa.Array], pa.Array]:
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(index.value.matches(text.as_py(), threshold)) for text in texts], pa.bool_())
+
+    return held
