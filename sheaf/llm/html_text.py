@@ -2,10 +2,11 @@
 
 A page is a sequence of words and tags. Words score positive, by the container
 they stand in, tags negative; the weights come from labelled pages, those that
-mark their content with one ``article`` or ``main`` element, whichever words and
-tags stand in and outside of it. One linear scan finds the region of the
-highest sum. Containers that can't be content (menus, forms, scripts, adverts
-and so on) score nothing for their words and are left out of the text.
+mark their content with one ``article`` or ``main`` element: the log odds of words
+and tags in and outside of it, over all their text, menus and adverts included.
+One linear scan finds the region of the highest sum; a content element that it
+touches is taken whole. Containers that can't be content (menus, forms, scripts,
+adverts and so on) score nothing for their words and are left out of the text.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ LEFT_OUT = {
     "object", "canvas", "audio", "video", "map", "fieldset", "datalist", "figcaption",
 }
 #: Of these, what an article can show as its own.
-KEPT_INSIDE = {"figcaption", "math", "svg", "object", "fieldset", "map"}
+KEPT_INSIDE = {"figcaption", "math", "svg", "object", "fieldset", "map", "canvas", "audio", "video"}
 #: Elements without a meaning of their own, whose id counts inside an article too.
 GROUPS = {"div", "ul", "ol"}
 INLINE = {
@@ -58,16 +59,21 @@ NAMED = re.compile(
     r"widget|toolbar|pagination|pager|copyright|disclaimer|contentinfo|complementary|search)(?:$|[-_])"
 )
 HAVING = re.compile(r"^(?:has|with|no|is|without)[-_]")
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|(<)", re.DOTALL
-)
+#: Element names that have weights of their own; all others share one.
+NAMES = CONTENT | RAW | VOID | LEFT_OUT | INLINE | ENDS_P | KEPT | {
+    "body", "caption", "center", "col", "colgroup", "dd", "dt", "html", "legend", "li", "optgroup", "option", "output", "picture", "progress",
+    "script", "search", "style", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "track",
+}
+CUSTOM = "custom element"
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_PART = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 HIDDEN_NAME = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.IGNORECASE)
 HIDDEN_VALUE = re.compile(r"(?<![\w-])(?:aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"']?[^\"'>]*display\s*:\s*none)", re.IGNORECASE)
 
 #: Weights where there are no labelled pages: of words by container, of tags.
-WORDS = {"content": 3.0, "p": 1.0, "heading": 0.6, "li": 0.3, "other": 0.4}
+WORDS = {"p": 1.0, "heading": 0.6, "li": 0.3, "other": 0.4}
 TAGS = {"p": -0.3, "br": -0.1, "h1": -0.5, "h2": -0.5, "h3": -0.5, "li": -1.5, "div": -1.5, "article": -8.0, "main": -8.0}
 OTHER_TAG, INLINE_TAG = -1.0, -0.2
 
@@ -99,23 +105,91 @@ def _ends(open_name: str, name: str, slash: str, lists: int) -> bool:
     return open_name == "li" and not lists and (name in LISTS if slash else name == "li")
 
 
-def events(page: str) -> list[tuple[str, str, str, bool, str]]:
-    """(kind, name or container, text, inside a content element, own container) of a page, in order.
+class _Reader:
+    """Tags and texts of a page in order, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.unclosed: set[str] = set()
 
-    kind is "tag" or "text"; text of what is left out isn't there. An element that
-    is left out ends with its own end tag; without one only its tag is meant, but for
-    paragraphs and list items, which then end where the next block does. Text inside
-    a content element is "content", but of a doubted element counts as its container.
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, beyond quoted values; -1 if there is none."""
+        first = seen = at
+        while self.quotes and (m := TAG_PART.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if self.page[seen : m.start()].rstrip()[-1:] == "=":
+                at = self.page.find(m[0], at) + 1
+                if not at:
+                    break
+            seen = at
+        # A quote that nothing closes: from here on there are none, else each tag would be read to the page's end.
+        self.quotes = False
+        return self.page.find(">", first)
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the end tag of a raw element stands; -1 if there is none."""
+        if name in self.unclosed:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(self.page, at)
+        if not m:
+            self.unclosed.add(name)
+        return m.start() if m else -1
+
+    def tokens(self) -> Iterator[tuple[str, str, str, str]]:
+        """(slash, name, rest, "") of tags and ("", "", "", text) of texts; what raw elements hold isn't there."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            start = page.find("<", at)
+            if start < 0:
+                yield "", "", "", page[at:]
+                return
+            if start > at:
+                yield "", "", "", page[at:start]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            slash = "/" if page.startswith("/", start + 1) else ""
+            name = NAME.match(page, start + 1 + len(slash))
+            marked = not name and page[start + 1 : start + 2] in ("!", "?")
+            end = (self.tag_end(name.end()) if name else page.find(">", start)) if name or marked else -1
+            if end < 0:  # a sign of its own
+                yield "", "", "", "<"
+                at = start + 1
+                if name or marked:  # and no tag ends after it either
+                    yield "", "", "", page[at:]
+                    return
+                continue
+            at = end + 1
+            if not name:
+                continue
+            low = name[0].lower()
+            yield slash, low, page[name.end() : end], ""
+            if not slash and low in RAW:
+                closed = self.raw_end(low, at)
+                if closed >= 0:
+                    at = closed
+                elif low in ("script", "style"):
+                    return
+
+
+def events(page: str, everything: bool = False) -> list[tuple[str, str, str, bool]]:
+    """(kind, name or container, text, inside a content element) of a page, in order.
+
+    kind is "tag" or "text"; text of what is left out isn't there, unless ``everything``
+    is asked for. An element that is left out ends with its own end tag; without one
+    only its tag is meant, but for paragraphs and list items, which then end where
+    the next block does. Text inside a content element counts as a paragraph's
+    where its container is none, unless the element is doubted.
     """
-    tokens = [(m.start(), m.end(), m[1], (m[2] or "").lower(), m[3], m[4] or m[5]) for m in TOKEN.finditer(page)]
-    ends = Counter(name for _, _, slash, name, _, _ in tokens if slash)
-    out: list[tuple[str, str, str, bool, str]] = []
+    tokens = list(_Reader(page).tokens())
+    ends = Counter(name for slash, name, _, _ in tokens if slash)
+    out: list[tuple[str, str, str, bool]] = []
     skipped, depth, lists, content, last = "", 0, 0, 0, "other"
     doubted, doubts = "", 0
-    raw_until = -1
-    for start, end, slash, name, rest, text in tokens:
-        if start < raw_until:
-            continue
+    for slash, name, rest, text in tokens:
         if name:
             if slash:
                 ends[name] -= 1
@@ -129,20 +203,15 @@ def events(page: str) -> list[tuple[str, str, str, bool, str]]:
                 elif name in LISTS:
                     lists += -1 if slash else 1
                 continue
-            out.append(("tag", name, "", content > 0, ""))
+            out.append(("tag", name if name in NAMES else CUSTOM, "", content > 0))
             if name == doubted:
                 doubts += -1 if slash else 1
                 doubted = doubted if doubts else ""
             if not slash and name in RAW:
-                closing = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, end)
-                if closing:
-                    raw_until = closing.start()
-                elif name in ("script", "style"):
-                    break
                 continue
             if name in CONTENT:
                 content = max(0, content + (-1 if slash else 1))
-            if not slash and name not in VOID and not rest.endswith("/"):
+            if not everything and not slash and name not in VOID and not rest.endswith("/"):
                 header = name == "header" and not content
                 named = _named_out(name, rest, content > 0)
                 left_out = name in LEFT_OUT and not (content and name in KEPT_INSIDE)
@@ -152,8 +221,11 @@ def events(page: str) -> list[tuple[str, str, str, bool, str]]:
                     skipped, depth, lists = name, 1, 0
             if name == "p" or name in HEADINGS or name == "li":
                 last = ("heading" if name in HEADINGS else name) if not slash else "other"
-        elif text and not skipped:
-            out.append(("text", "content" if content and not doubted else last, text, content > 0, last))
+            elif name in ENDS_P:
+                last = "other"
+        elif not skipped:
+            plain = last == "other" and content and not doubted and not everything
+            out.append(("text", "p" if plain else last, text, content > 0))
     return out
 
 
@@ -174,32 +246,27 @@ def learned(counts: dict[tuple[str, str], tuple[int, int]]) -> tuple[dict[str, f
 
 
 def label_counts(page: str) -> Counter:
-    """What a labelled page says: (kind, name, inside) of its words and tags; empty if it isn't labelled.
-
-    Words of a content element count under their own container too, which is all
-    that pages without one have.
-    """
-    found = events(page)
+    """What a labelled page says: (kind, name, inside) of all its words and tags; empty if it isn't labelled."""
+    found = events(page, everything=True)
     if sum(1 for kind, name, *_ in found if kind == "tag" and name in CONTENT) != 2:
         return Counter()
     out: Counter = Counter()
-    for kind, name, text, inside, own in found:
-        for what in {name, own} if kind == "text" else {name}:
-            out[kind, what, inside and what not in CONTENT] += words_in(text) if kind == "text" else 1
+    for kind, name, text, inside in found:
+        out[kind, name, inside and name not in CONTENT] += words_in(text) if kind == "text" else 1
     return out
 
 
 def main_text(page: str | None, weights: tuple[dict[str, float], dict[str, float]] = (WORDS, TAGS)) -> str:
-    """The text of the maximum-scoring region.
+    """The text of the maximum-scoring region, and of the content elements that it touches.
 
     On a page without a content element tags weigh no more than by default: that
     they stand outside of articles elsewhere doesn't tell where its content ends.
     """
     words, tags = weights
     found = events(page or "")
-    labelled = any(kind == "tag" and name in CONTENT for kind, name, *_ in found)
+    labelled = any(inside for *_, inside in found)
     best, best_from, best_to, total, begin = 0.0, 0, 0, 0.0, 0
-    for at, (kind, name, text, _, _) in enumerate(found):
+    for at, (kind, name, text, _) in enumerate(found):
         if kind == "text":
             total += words[name] * words_in(text)
         else:
@@ -210,15 +277,23 @@ def main_text(page: str | None, weights: tuple[dict[str, float], dict[str, float
             best, best_from, best_to = total, begin, at + 1
         if total <= 0:
             total, begin = 0.0, at + 1
-    pieces = [text if kind == "text" else "" if name in INLINE else " " for kind, name, text, _, _ in found[best_from:best_to]]
+    if best_to and found[best_from][3]:
+        while best_from and found[best_from - 1][3]:
+            best_from -= 1
+    if best_to and found[best_to - 1][3]:
+        while best_to < len(found) and found[best_to][3]:
+            best_to += 1
+    pieces = [text if kind == "text" else "" if name in INLINE else " " for kind, name, text, _ in found[best_from:best_to]]
     # A reference never reaches over a tag, so pieces are decoded one by one.
     return " ".join("".join(html.unescape(p) if "&" in p else p for p in pieces).split())
 
 
 def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights from labelled pages; one row a tag name comes to the driver, 500 at most.
+    """Weights from labelled pages; one row for each of ``NAMES`` comes to the driver.
 
-    ``max_labelled`` distinct pages at most; each counts as often as it occurs.
+    ``max_labelled`` distinct pages at most, those of the smallest hashes; each counts
+    as often as it occurs. The classifier of words and tags is fitted on this bounded
+    sample; every page is scored.
     """
     ship(pages.sparkSession)
     hashes = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64("html").alias("h"))
@@ -233,13 +308,12 @@ def fit(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, f
             counts: Counter = Counter()
             for page in batch.column(0):
                 counts += label_counts(page.as_py())
-            rows = [(kind, name[:32], n if inside else 0, 0 if inside else n) for (kind, name, inside), n in counts.items()]
+            rows = [(kind, name, n if inside else 0, 0 if inside else n) for (kind, name, inside), n in counts.items()]
             types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "name", "i", "o"])
 
     counted = rows.mapInArrow(run, "kind string, name string, i long, o long").groupBy("kind", "name").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    counted = counted.orderBy(F.desc(F.col("i") + F.col("o")), "kind", "name").limit(500)
     return learned({(r.kind, r.name): (r.i, r.o) for r in counted.collect()})
 
 
@@ -249,8 +323,10 @@ def extract(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
     markup and comments are left out. Character references are decoded, white space
     becomes one space, blocks are joined by one space. Null and empty pages have
-    the empty text. Equal rows stay separate rows; ids and urls may be null. Without
-    labelled pages the weights are defaults.
+    the empty text. Equal rows stay separate rows; ids and urls may be null, an empty
+    table stays empty. Without labelled pages the weights are defaults. Of equally
+    good regions the first, and of these the shortest, is taken. A page is read in
+    time linear in its length, malformed or not: a tag without an end is text.
     """
     weights = fit(pages, max_labelled)
 

@@ -64,6 +64,58 @@ def test_pages_without_a_content_element_in_a_mixed_table(spark):
     assert got[0] == " ".join(("Title", first.replace("first7", "first7x0"), second))
 
 
+def test_raw_text_and_quotes_open_nothing():
+    cases = {
+        "<article><script>if(i<n){ // don't stop</script><p>Real text. It isn't lost I hope.</p></article>": "Real text. It isn't lost I hope.",
+        "<article><p title=don't>One</p><p title='a > b'>two</p><p>it's <b class=\"x>y\">three</b></p></article>": "One two it's three",
+        "<article><p>1 < 2 and <3</p><p>Energy is <math>E</math> here.</p></article>": "1 < 2 and <3 Energy is E here.",
+        '<article><p>First part here.</p><p class="x>second</p><p>third</p></article>': "First part here. second third",
+        "<article><p>Words here.</p><style>p{}</article>": "Words here.",
+        "<article><p>Long enough a paragraph.</p><div><div><span>End</span></div></div></article>": "Long enough a paragraph. End",
+    }
+    for given, want in cases.items():
+        assert html_text.main_text(given) == want, given
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a b='", "<textarea>", "<!-- ", "<", "</p ", '<a ">"', "<p><div>", "<p class='ad'>"])
+def test_malformed_pages_take_linear_time(unit):
+    import time
+
+    start = time.process_time()
+    html_text.main_text("<article><p>Some words.</p>" + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 30
+
+
+def test_of_equal_regions_the_first_is_taken():
+    part = "<p>%s one two three four five six seven eight</p>"
+    between = "<div></div>" * 20
+    assert html_text.main_text(part % "a" + between + part % "b").startswith("a one") and " b " not in html_text.main_text(part % "a" + between + part % "b")
+
+
+def test_weights_come_from_all_text_of_labelled_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    words, tags = html_text.fit(pages)
+    assert words["li"] < words["p"] and words["other"] < words["p"] and tags["footer"] < tags["p"] and tags["li"] < tags["p"]
+
+
+def test_pages_whose_article_and_boilerplate_have_neutral_names(spark):
+    """Half of the table's pages lose all names that say what is what; regions are found by the others' weights."""
+    import html as h
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    rows, want = [], {}
+    for k, p in enumerate(pages):
+        inner = re.sub("</?b>", "", re.search("<article>(.*?)</article>", p.html, re.DOTALL)[1])
+        want[k] = " ".join(h.unescape(re.sub("<[^>]*>", " ", inner)).split())
+        plain = re.sub("<(article|nav|footer)>", '<div class="box">', p.html)
+        plain = re.sub("</(article|nav|footer)>", "</div>", plain).replace('class="ad"', 'class="bottom"')
+        rows.append((k, "u", plain if k % 2 else p.html))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == want[k] for k in want if k % 2 == 0)
+    exact = [got[k] == want[k] for k in want if k % 2]
+    assert sum(exact) >= 0.9 * len(exact), sum(exact) / len(exact)
+
+
 def test_extraction_of_the_tables(spark):
     import html as h
 
