@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -29,6 +29,8 @@ SIZES = (1, 2, 3, 4)
 REPEATS = (2, 3, 4, 7, 13)
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashes.
 MAX_LABELLED = 5_000
+#: Indicators of all these rows together, at most: 256 MB in the one task that fits.
+MAX_INDICATORS = 1 << 26
 #: Bytes hashed at a time.
 STEP = 1 << 20
 EPOCHS, COST, SMOOTH = 15, 1.0, 1.0
@@ -88,29 +90,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         counts[labels[i], rows[i]] += 1
     shares = counts / counts.sum(axis=1, keepdims=True)
     scale = np.log(shares[1] / shares[0])
-    x, norms = [], np.zeros(n)
-    for i, r in enumerate(rows):
-        v = scale[r]
-        norms[i] = math.sqrt(v @ v)
-        x.append(v / norms[i] if norms[i] else v)
+    norms = np.array([math.sqrt(scale[r] @ scale[r]) for r in rows])
+    inverse = np.where(norms > 0, 1 / np.maximum(norms, 1e-300), 0.0)
     w, bias = np.zeros(BUCKETS), 0.0
     y = np.where(labels == 1, 1.0, -1.0)
     most = np.full(n, COST)
-    alpha, q = np.zeros(n), np.array([v @ v + 1 for v in x])
+    alpha, q = np.zeros(n), 1.0 + (norms > 0)
     draw = np.random.default_rng(0)
     for _ in range(EPOCHS):
         moved = 0.0
         for i in draw.permutation(used):
-            g = y[i] * (w[rows[i]] @ x[i] + bias) - 1
+            x = scale[rows[i]] * inverse[i]  # made anew each time: only indicators are kept
+            g = y[i] * (w[rows[i]] @ x + bias) - 1
             new = min(max(alpha[i] - g / q[i], 0.0), most[i])
             if (d := new - alpha[i]) != 0.0:
-                w[rows[i]] += d * y[i] * x[i]
+                w[rows[i]] += d * y[i] * x
                 bias += d * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(d))
         if moved < 1e-3:
             break
-    margins = np.array([w[r] @ v + bias for r, v in zip(rows, x, strict=True)])
+    margins = np.array([w[r] @ scale[r] * k + bias for r, k in zip(rows, inverse, strict=True)])
     slope, offset = _logistic(margins[kept_out], labels[kept_out]) if len(set(labels[kept_out])) == 2 else (2.0, 0.0)
     return Model(scale.astype(np.float32), w.astype(np.float32), bias, slope, offset)
 
@@ -146,8 +146,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """A model of the labelled documents that aren't held out, ``max_labelled`` at most.
 
-    Its rows of buckets meet in one task, which they bound: 4 bytes a bucket and
-    row. The driver gets the fitted arrays, 1 MB. A document with several labels
+    Its rows of buckets meet in one task: so many of them, in the order of their
+    hashes, as hold ``MAX_INDICATORS`` buckets together, of 4 bytes each. Both bounds
+    concern the fit only. The driver gets the fitted arrays, 1 MB. A document with several labels
     counts as its lowest.
     """
     spark = docs.sparkSession
@@ -169,7 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         return pd.DataFrame({"scale": [m.scale.tobytes()], "weight": [m.weight.tobytes()], "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
 
     # Rows with one doc_id could exceed the bound, so it is applied to them again.
-    rows = settled(some.mapInArrow(index, "id long, y int, found binary")).orderBy("id", "found").limit(max_labelled)
+    in_order = Window.orderBy(F.xxhash64("id"), "id", "found")
+    held = F.sum(F.octet_length("found") / 4).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    indexed = settled(some.mapInArrow(index, "id long, y int, found binary"))
+    numbered = indexed.withColumn("nth", F.row_number().over(in_order)).withColumn("held", held)
+    rows = numbered.where((F.col("nth") <= max_labelled) & (F.col("held") <= MAX_INDICATORS)).select("id", "y", "found")
     fitted = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
         run, "scale binary, weight binary, bias double, slope double, offset double"
     )

@@ -1,4 +1,10 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame with the columns of ``documents``."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame with the columns of ``documents``.
+
+Each takes any table with these columns, others are left out, and an empty table
+gives an empty one. Nulls in any column are allowed: a null text is an empty one,
+a null doc_id is a document whose id sorts last. Equal rows are separate documents
+but for near-dedup, which keeps one of them.
+"""
 
 from __future__ import annotations
 

@@ -37,6 +37,24 @@ def test_stages_decide_as_their_operators(spark):
     assert result == sorted(map(tuple, docs.collect()))
 
 
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = common.table(spark, SF, "documents").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (3, None, None, "s", 1)], docs.schema)
+    odd = docs.unionByName(docs.limit(5)).unionByName(odd).withColumns({"row": F.lit(1), "fp": F.lit("x"), "doc": F.lit(2), "__id": F.lit(3), "key": F.lit(4)})
+    for given in (odd, odd.limit(0)):
+        n = given.count()
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, given, SF)
+            rows = out.collect()
+            assert len(rows) <= n and (n == 0 or rows), name
+            if k < 4:
+                assert out.columns == common.DOCUMENT_COLUMNS
+            if k in (1, 4):
+                assert len(rows) == n
+
+
 def test_oracles(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

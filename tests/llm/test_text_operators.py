@@ -401,6 +401,18 @@ def test_quality_cutoffs_of_strata_differ_and_keep_their_bound(spark):
         assert shares[1] <= allowed and shares[0] > 0.5, (stratum, shares)
 
 
+def test_quality_classifier_bounds_its_fit_and_takes_any_text(spark, monkeypatch):
+    texts = [f"good words number {i} in a calm sentence" for i in range(60)] + [f"### {i} $$$ %%% buy {i} now !!!" for i in range(60)] + [None, "", "z" * 300_000, "z" * 300_000]
+    docs = documents(spark, texts, [*range(123), 122])
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)] + [(5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality_model.quality_scores(docs, labels).collect()}
+    assert sum(rows[i].score > rows[60 + i].score for i in range(60)) == 60 and all(0 <= r.score <= 1 for r in rows.values())
+    monkeypatch.setattr(quality_model, "MAX_INDICATORS", 2_000)
+    some = quality_model.quality_scores(docs, labels)
+    assert some.count() == 124 and some.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert quality_model.quality_scores(docs.limit(0), labels).count() == 0
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
