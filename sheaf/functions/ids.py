@@ -22,4 +22,4 @@ def issue_id(issue: Column) -> Column:
 
 def coded(code: Column) -> Column:
     """A warning code as it is where well-formed, else a hash of it."""
-    return F.when(code.rlike("^[a-z0-9_]+$"), code).otherwise(F.concat(F.lit("H-"), F.substring(F.sha2(code, 256), 1, 16)))
+    return F.when(code.rlike(r"^[a-z0-9_]+\z"), code).otherwise(F.concat(F.lit("H-"), F.substring(F.sha2(code, 256), 1, 16)))

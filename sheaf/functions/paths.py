@@ -79,8 +79,8 @@ def is_safe_member(name: Column) -> Column:
 
 
 def member_key(name: Column) -> Column:
-    """What two members that would be written to one place have in common."""
-    return F.array_join(F.transform(parts(name), lambda p: F.lower(F.rtrim(p, F.lit(" .")))), "/")
+    """What two members that would be written to one place have in common; upper case in between folds what lower case leaves apart."""
+    return F.array_join(F.transform(parts(name), lambda p: F.lower(F.upper(F.rtrim(p, F.lit(" ."))))), "/")
 
 
 def is_absolute(path: Column) -> Column:

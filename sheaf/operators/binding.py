@@ -15,7 +15,7 @@ METADATA_FIELDS = {
     "traveler": "traveler",
     "vendor": "vendor",
     "seller": "vendor",
-    "route": "route",
+    "sellername": "vendor",
 }
 
 

@@ -76,8 +76,8 @@ def page_metrics(pages: DataFrame, placed: DataFrame, keys: tuple[str, ...] = ("
 
 def valid_expectation(cases: DataFrame) -> DataFrame:
     """Whether a case's page keys are well-formed and unique, its groups not empty, its codes well-formed."""
-    keys_fine = F.forall("page_order", lambda k: k.rlike("^[0-9a-f]{64}:[0-9]+$"))
+    keys_fine = F.forall("page_order", lambda k: k.rlike(r"^[0-9a-f]{64}:[0-9]+\z"))
     unique = F.size(F.array_distinct("page_order")) == F.size("page_order")
     groups_fine = F.forall("association_groups", lambda g: (F.size(g) > 0) & (F.size(F.array_distinct(g)) == F.size(g)))
-    codes_fine = F.forall("warning_codes", lambda c: c.rlike("^[a-z0-9_]+$"))
+    codes_fine = F.forall("warning_codes", lambda c: c.rlike(r"^[a-z0-9_]+\z"))
     return cases.withColumn("valid", F.coalesce(keys_fine & unique & groups_fine & codes_fine, F.lit(False)))

@@ -35,31 +35,35 @@ def within_budget(members: DataFrame, settings: Settings | None = None, max_entr
     Every member takes an entry, then its bytes. The first one that finds too
     little left fails its archive: nothing of that archive is accepted, what it took
     so far stays taken, its later members take nothing. Needs batch_id, seq (the
-    order), archive_id, bytes. The fold is sequential, so a batch's list of members,
-    32 bytes or so each and no contents, meets in one task.
+    order), archive_id, bytes. Where there are columns ``used_entries`` and
+    ``used_bytes``, a batch begins with so much of its budget taken; where there is a
+    column ``unsafe``, such a member takes its entry and fails its archive. Returned are
+    also ``entries`` and ``took``, what each member took. The fold is sequential, so a
+    batch's list of members, 32 bytes or so each and no contents, meets in one task.
     """
     s = settings or Settings()
     entries, size = max_entries or s.max_files, max_bytes or s.max_bytes
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq", kind="stable")
-        left, room, failed = entries, size, set()
-        for archive, n in zip(group["archive_id"], group["bytes"], strict=True):
-            if archive in failed:
-                continue
-            if left <= 0:
+        left, room, failed = entries - int(group["used_entries"].iloc[0]), size - int(group["used_bytes"].iloc[0]), set()
+        taken = []
+        for archive, n, unsafe in zip(group["archive_id"], group["bytes"], group["unsafe"], strict=True):
+            enters = archive not in failed and left > 0
+            fits = enters and not unsafe and 0 <= n <= room
+            left, room = left - enters, room - (n if fits else 0)
+            if not fits:
                 failed.add(archive)
-                continue
-            left -= 1
-            if n < 0 or n > room:
-                failed.add(archive)
-                continue
-            room -= n
-        return group.assign(accepted=~group["archive_id"].isin(failed))
+            taken.append((int(enters), n if fits else 0))
+        spent = pd.DataFrame(taken, columns=["entries", "took"], index=group.index)
+        return group[names].assign(accepted=~group["archive_id"].isin(failed), entries=spent["entries"], took=spent["took"])
 
     ship(members.sparkSession)
-    schema = members.select("batch_id", "seq", "archive_id", "bytes", F.lit(True).alias("accepted")).schema
-    return members.select("batch_id", "seq", "archive_id", "bytes").groupBy("batch_id").applyInPandas(fold, schema)
+    names = ["batch_id", "seq", "archive_id", "bytes"]
+    known = {"used_entries": F.lit(0), "used_bytes": F.lit(0), "unsafe": F.lit(False)}
+    slim = members.select(*names, *[F.col(c) if c in members.columns else v.alias(c) for c, v in known.items()])
+    schema = members.select(*names, F.lit(True).alias("accepted"), F.lit(0).cast("long").alias("entries"), F.lit(0).cast("long").alias("took")).schema
+    return slim.groupBy("batch_id").applyInPandas(fold, schema)
 
 
 def fingerprint(sources: DataFrame, settings: Settings, provider: str, manifest_sha256: str | None = None, version: int = 1) -> DataFrame:

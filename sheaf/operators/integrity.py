@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -43,10 +43,12 @@ def overlaps(placements: DataFrame, *keys: str, cell: float = CELL_MM) -> DataFr
 
 
 def duplicates(placements: DataFrame) -> DataFrame:
-    """An issue for every placement of a page but the first."""
-    many = placements.groupBy("batch_id", "page_id").agg(F.count("*").alias("n"), F.max("output_page").alias("p")).where("n > 1")
-    repeated = many.select("batch_id", "page_id", "p", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))))
-    return repeated.select(*issue(F.col("batch_id"), "placement_duplicate", F.array("page_id"), _shown(F.col("p"))))
+    """An issue for every placement of a page but the first, with its own output page; equal ones count as often as they occur."""
+    counted = placements.groupBy("batch_id", "page_id", "output_page").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("batch_id", "page_id").orderBy("output_page")) == 1
+    repeated = counted.select("batch_id", "page_id", "output_page", (F.col("n") - F.when(first, 1).otherwise(0)).alias("n")).where("n > 0")
+    repeated = repeated.select("batch_id", "page_id", "output_page", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return repeated.select(*issue(F.col("batch_id"), "placement_duplicate", F.array("page_id"), _shown(F.col("output_page"))))
 
 
 def unknown(placements: DataFrame, assets: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ MODEL_RESPONSE = r"[\"'](?:model_response|response_body)[\"']\s*:"
 TEST_OUTPUT = r"[\"'](?:gray_output_path|gray_report_path)[\"']\s*:"
 PUBLIC_WINDOWS = ["\\program files\\", "\\programdata\\", "\\windows\\"]
 PUBLIC_POSIX = ["/var/lib/apt/lists"]
-ARTIFACTS = [".7z", ".heic", ".jpeg", ".jpg", ".ofd", ".pdf", ".png", ".rar", ".tar", ".tif", ".tiff", ".webp", ".zip"]
+ARTIFACTS = [".7z", ".bmp", ".gif", ".gz", ".heic", ".jpeg", ".jpg", ".ofd", ".pdf", ".png", ".rar", ".tar", ".tgz", ".tif", ".tiff", ".webp", ".zip"]
 DIRECTORIES = [".model-cache", ".private-fixtures", "gray-output", "model-responses", "output-final", "qa-final"]
 
 

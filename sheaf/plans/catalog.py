@@ -320,7 +320,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REJECT_SQL = """
-ranked AS (
+ranked AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY batch_id, support_id ORDER BY score DESC, primary_id) AS k,
          lead(score) OVER (PARTITION BY batch_id, support_id ORDER BY score DESC, primary_id) AS second,
          bool_and(confidence_limited) OVER (PARTITION BY batch_id, support_id) AS all_limited FROM pairs
@@ -335,7 +335,7 @@ ranked AS (
   SELECT *, max(score) OVER (PARTITION BY batch_id, primary_id) AS best,
          nth_value(score, 2) OVER (PARTITION BY batch_id, primary_id ORDER BY score DESC, support_id
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM left_over
-), rejected AS (
+), rejected AS MATERIALIZED (
   SELECT batch_id, support_id, reason FROM by_support WHERE reason IS NOT NULL
   UNION ALL
   SELECT DISTINCT batch_id, support_id, 'ambiguous_association' FROM top WHERE best - second < 0.08 AND best - score < 0.08
@@ -350,8 +350,8 @@ def link_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_LINK_SQL}, {_REJECT_SQL}
 SELECT q.batch_id, q.support_id, q.primary_id, CAST(q.score AS DOUBLE) AS score
-FROM pairs q WHERE q.score >= 0.65
-AND NOT EXISTS (SELECT 1 FROM rejected r WHERE r.batch_id = q.batch_id AND r.support_id = q.support_id)
+FROM pairs q ANTI JOIN rejected r ON r.batch_id = q.batch_id AND r.support_id = q.support_id
+WHERE q.score >= 0.65
 """)
 def link_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
@@ -546,12 +546,12 @@ def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(key % 19 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string")).alias("page_id"),
         page.cast("int").alias("output_page"),
         F.when(key % 23 == 0, -1.0).otherwise(10.0).alias("x"),
-        (F.pmod(F.xxhash64(key.cast("string")) * 0 + key, F.lit(7)) * 45.0).alias("y"),
+        (key % 7 * 45.0).alias("y"),
         F.when(key % 13 == 0, 90.0).otherwise(80.0).alias("width"),
         F.lit(40.0).alias("height"),
         G.box(0, 0, 1, 1).alias("crop"),
     )
-    return asset, placed.unionByName(placed.where("cast(page_id as string) like '%5'"))
+    return asset, placed.unionByName(placed.where("page_id LIKE '%5'").withColumn("output_page", F.col("output_page") + 1))
 
 
 _PLANTED_SQL = """
@@ -561,7 +561,7 @@ once AS (
          CASE WHEN o_orderkey % 31 = 0 THEN 3 ELSE 0 END AS pg, CASE WHEN o_orderkey % 23 = 0 THEN -1.0 ELSE 10.0 END AS x,
          (o_orderkey % 7) * 45.0 AS y, CASE WHEN o_orderkey % 13 = 0 THEN 90.0 ELSE 80.0 END AS w
   FROM orders WHERE o_orderkey % 11 <> 0
-), placed AS (SELECT *, 1 AS copy FROM once UNION ALL SELECT *, 2 FROM once WHERE id LIKE '%5'),
+), placed AS (SELECT *, 1 AS copy FROM once UNION ALL SELECT * REPLACE (pg + 1 AS pg), 2 FROM once WHERE id LIKE '%5'),
 known AS (SELECT p.* FROM placed p JOIN assets a ON p.b = a.b AND p.id = a.id),
 found AS (
   SELECT b, 'placement_duplicate' AS code, id AS ids, pg + 1 AS page FROM placed WHERE copy = 2
@@ -669,17 +669,24 @@ def content_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Planted file names, by doc_id modulo their number.
-FILES = ["src/a.py", "Gray-Output/x.md", ".env.local", "out/final-report.json", "img/scan.PNG", "tmp_gray_1.py", "docs/readme.md"]
+FILES = ["src/a.py", "Gray-Output/x.md", ".env.local", "out/final-report.json", "img/scan.PNG", "tmp_gray_1.py", "docs/readme.md", "Report.json", ".env"]
+FILES += [f"x/{d}/a.md" for d in scanner.DIRECTORIES] + [f"x/a{s}" for s in scanner.ARTIFACTS]
+FILES += ["a/.environment", "a/reports.json", "my_report.json", "a.pdf/b.txt", "a.tar.xz", "a/TMP_GRAY_2"]
 _FILES_SQL = "[" + ", ".join("'" + f + "'" for f in FILES) + "]"
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {_FILES_SQL}[CAST(doc_id % 7 AS INTEGER) + 1] AS path FROM documents)
-SELECT doc_id, path, CASE doc_id % 7 WHEN 1 THEN 'private artifact directory' WHEN 2 THEN 'environment file' WHEN 3 THEN 'private report'
-       WHEN 4 THEN 'financial, archive, or preview artifact' WHEN 5 THEN 'one-off gray-test helper' END AS reason FROM d
+WITH d AS (SELECT doc_id, {_FILES_SQL}[CAST(doc_id % {len(FILES)} AS INTEGER) + 1] AS path FROM documents),
+n AS (SELECT *, string_split(lower(path), '/') AS parts, string_split(lower(path), '/')[-1] AS name FROM d)
+SELECT doc_id, path,
+  CASE WHEN list_has_any(parts, ['.model-cache', '.private-fixtures', 'gray-output', 'model-responses', 'output-final', 'qa-final']) THEN 'private artifact directory'
+       WHEN name = '.env' OR starts_with(name, '.env.') THEN 'environment file'
+       WHEN name = 'report.json' OR name LIKE '%-report.json' OR name LIKE '%\\_report.json' ESCAPE '\\' THEN 'private report'
+       WHEN regexp_matches(name, '[^.]\.(7z|bmp|gif|gz|heic|jpe?g|ofd|pdf|png|rar|tar|tgz|tiff?|webp|zip)$') THEN 'financial, archive, or preview artifact'
+       WHEN starts_with(name, 'tmp_gray_') THEN 'one-off gray-test helper' END AS reason FROM n
 """)
 def path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.get(F.array(*map(F.lit, FILES)), (F.col("doc_id") % 7).cast("int"))
+    named = F.get(F.array(*map(F.lit, FILES)), (F.col("doc_id") % len(FILES)).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", named.alias("path"))
     return docs.withColumn("reason", scanner.path_reason(F.col("path")))
 

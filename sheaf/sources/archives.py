@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import settled
 from ..functions import paths
 from ..operators.ingest import unsafe_members, within_budget
 from ..settings import Settings
@@ -79,30 +80,40 @@ def list_members(archives: DataFrame, settings: Settings, depth: int = 1) -> Dat
     return archives.select("batch_id", "archive_id", "kind", "content").mapInPandas(run, MEMBER)
 
 
-def expand(archives: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Accepted members of one level, and issues (batch_id, archive_id, code).
+def expand(archives: DataFrame, settings: Settings, used: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted members of one level, issues (batch_id, archive_id, code), and what batches have used (batch_id, used_entries, used_bytes).
 
     An archive with an unsafe or doubled name, over the budget or unreadable is left
-    out whole. Folders take an entry and give no row.
+    out whole; what it took until it failed stays taken. Folders take an entry and
+    give no row. Every archive is unpacked once: its members are settled.
     """
-    listed = list_members(archives, settings)
+    listed = settled(list_members(archives, settings))
     failed = listed.where("error IS NOT NULL").select("batch_id", "archive_id", F.lit("archive_failed").alias("code"))
     good = listed.where("error IS NULL")
     checked = unsafe_members(good.where("NOT is_dir").select("batch_id", "archive_id", "member"))
-    unsafe = checked.where(~F.col("safe") | F.col("collides")).select("batch_id", "archive_id").distinct().withColumn("code", F.lit("unsafe_archive_member"))
+    odd = checked.where(~F.col("safe") | F.col("collides")).select("batch_id", "archive_id", "member").distinct()
+    unsafe = odd.select("batch_id", "archive_id").distinct().withColumn("code", F.lit("unsafe_archive_member"))
     ordered = good.withColumn("seq", F.format_string("%s\x1f%010d", "archive_id", "place"))
-    budget = within_budget(ordered.join(unsafe, ["batch_id", "archive_id"], "left_anti"), settings)
-    over = budget.where("NOT accepted").select("batch_id", "archive_id").distinct().withColumn("code", F.lit("archive_limit"))
+    ordered = ordered.join(odd.withColumn("unsafe", F.lit(True)), ["batch_id", "archive_id", "member"], "left").fillna({"unsafe": False})
+    if used is not None:
+        ordered = ordered.join(used, "batch_id", "left").fillna({"used_entries": 0, "used_bytes": 0})
+    budget = settled(within_budget(ordered, settings))
+    spent = budget.groupBy("batch_id").agg(F.sum("entries").alias("used_entries"), F.sum("took").alias("used_bytes"))
+    if used is not None:
+        spent = used.unionByName(spent).groupBy("batch_id").agg(F.sum("used_entries").alias("used_entries"), F.sum("used_bytes").alias("used_bytes"))
+    over = budget.where("NOT accepted").select("batch_id", "archive_id").distinct()
+    over = over.join(unsafe, ["batch_id", "archive_id"], "left_anti").withColumn("code", F.lit("archive_limit"))
     issues = failed.unionByName(unsafe).unionByName(over)
     kept = good.join(issues.select("batch_id", "archive_id").distinct(), ["batch_id", "archive_id"], "left_anti").where("NOT is_dir")
-    return kept.select("batch_id", "archive_id", "place", "member", "bytes", "depth", "content", F.sha2("content", 256).alias("sha256")), issues
+    return kept.select("batch_id", "archive_id", "place", "member", "bytes", "depth", "content", F.sha2("content", 256).alias("sha256")), issues, settled(spent)
 
 
 def expand_all(archives: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Files of archives in archives, ``max_depth`` levels deep; deeper ones are issues."""
+    """Files of archives in archives, ``max_depth`` levels deep; deeper ones are issues. One budget a batch over all levels."""
+    used: DataFrame | None = None
     level, files, issues = archives.select("batch_id", "archive_id", "kind", "content"), None, None
     for depth in range(1, settings.max_depth + 1):
-        found, trouble = expand(level, settings)
+        found, trouble, used = expand(level, settings, used)
         kind = paths.archive_kind(F.col("member"))
         plain = found.where(kind.isNull() & paths.is_supported(F.col("member"))).withColumn("depth", F.lit(depth))
         odd = found.where(kind.isNull() & ~paths.is_supported(F.col("member"))).select("batch_id", "archive_id", F.lit("unsupported_format").alias("code"))

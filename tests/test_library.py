@@ -140,6 +140,22 @@ def test_archives(spark):
     ]
 
 
+def test_one_budget_over_nested_archives(spark):
+    inner = zipped([("c.pdf", b"3"), ("d.pdf", b"4")])
+    rows = [
+        ("b", "outer", "zip", zipped([("a.pdf", b"1"), ("in.zip", inner)])),
+        ("bad", "1", "zip", zipped([("a.pdf", b"1"), ("../x.pdf", b"2"), ("b.pdf", b"3")])),
+        ("bad", "2", "zip", zipped([("a.pdf", b"1"), ("c.pdf", b"4")])),
+    ]
+    files = spark.createDataFrame(rows, "batch_id string, archive_id string, kind string, content binary")
+    kept, trouble = archives.expand_all(files, Settings(max_files=3))
+    # The unsafe archive has taken two entries when it fails.
+    assert sorted((r.batch_id, r.archive_id, r.member) for r in kept.collect()) == [("b", "outer", "a.pdf")]
+    assert sorted((r.archive_id, r.code) for r in trouble.collect()) == [("1", "unsafe_archive_member"), ("2", "archive_limit"), ("outer!in.zip", "archive_limit")]
+    kept, trouble = archives.expand_all(files, Settings(max_files=4))
+    assert kept.count() == 5 and [r.code for r in trouble.collect()] == ["unsafe_archive_member"]
+
+
 def test_xml(spark):
     good = b'<r xmlns:n="u"><n:InvoiceNo> TEST-001 </n:InvoiceNo><Passenger>Ada</Passenger><g><Ignored>nested</Ignored></g><Passenger>Eve</Passenger><e/></r>'
     evil = b'<!DOCTYPE r [<!ENTITY x "y">]><r><a>&x;</a></r>'
