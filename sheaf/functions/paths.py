@@ -83,8 +83,12 @@ def member_key(name: Column) -> Column:
     return F.array_join(F.transform(parts(name), lambda p: F.lower(F.upper(F.rtrim(p, F.lit(" ."))))), "/")
 
 
+#: Fixed value: how absolute paths begin.
+ABSOLUTE = r"^(?:/|\\\\|[A-Za-z]:[\\/])"
+
+
 def is_absolute(path: Column) -> Column:
-    return path.rlike(r"^(?:/|\\\\|[A-Za-z]:[\\/])")
+    return path.rlike(ABSOLUTE)
 
 
 def is_path_field(name: Column) -> Column:

@@ -16,6 +16,8 @@ ID_NUMBER = r"(?<!\p{Nd})\p{Nd}{17}[\p{Nd}Xx](?![\p{Nd}Xx])"
 CARD_NUMBER = r"(?<!\p{Nd})(?:\p{Nd}[ -]?){15,18}\p{Nd}(?!\p{Nd})"
 SECRET_NAME = r"(?i)(authorization|token|api.?key|password|cookie|client.?secret|credential)"
 ID_MARK, CARD_MARK, SECRET_MARK = "[REDACTED PRC ID]", "[REDACTED BANK CARD]", "[REDACTED]"
+#: In the order in which they are applied.
+REDACTIONS = [(ID_NUMBER, ID_MARK), (CARD_NUMBER, CARD_MARK)]
 
 
 def _fold(value: str | None) -> str | None:
@@ -53,7 +55,9 @@ def stripped(value: Column) -> Column:
 
 def redacted(value: Column) -> Column:
     """Identity numbers, then card numbers, replaced by a mark."""
-    return F.regexp_replace(F.regexp_replace(value, ID_NUMBER, ID_MARK), CARD_NUMBER, CARD_MARK)
+    for pattern, mark in REDACTIONS:
+        value = F.regexp_replace(value, pattern, mark)
+    return value
 
 
 def sanitised(value: Column, field: Column) -> Column:

@@ -682,7 +682,7 @@ SELECT doc_id, path,
   CASE WHEN list_has_any(parts, ['.model-cache', '.private-fixtures', 'gray-output', 'model-responses', 'output-final', 'qa-final']) THEN 'private artifact directory'
        WHEN name = '.env' OR starts_with(name, '.env.') THEN 'environment file'
        WHEN name = 'report.json' OR name LIKE '%-report.json' OR name LIKE '%\\_report.json' ESCAPE '\\' THEN 'private report'
-       WHEN regexp_matches(name, '[^.]\.(7z|bmp|gif|gz|heic|jpe?g|ofd|pdf|png|rar|tar|tgz|tiff?|webp|zip)$') THEN 'financial, archive, or preview artifact'
+       WHEN regexp_matches(name, '[^.][.](7z|bmp|gif|gz|heic|jpe?g|ofd|pdf|png|rar|tar|tgz|tiff?|webp|zip)$') THEN 'financial, archive, or preview artifact'
        WHEN starts_with(name, 'tmp_gray_') THEN 'one-off gray-test helper' END AS reason FROM n
 """)
 def path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
