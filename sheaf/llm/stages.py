@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe as bpe_op
-from . import decontaminate, line_dedup, quality_rules, simhash
+from . import decontaminate, line_dedup, quality_rules, set_links
 from .common import DOCUMENT_COLUMNS, documents_again, table
 
 
@@ -34,8 +34,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs.select(*DOCUMENT_COLUMNS))
+    """One document of each group of near duplicates, five-word shingles and 0.8, stays, that of the smallest doc_id."""
+    return set_links.keep_one(docs.select(*DOCUMENT_COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
