@@ -15,7 +15,10 @@ how many candidates there are, never which links are found.
 
 Work is done on distinct sets, and only for shingles that join different
 components: first each set against the smallest and the greatest under a shingle,
-which is linear, then what is left in different components, pair by pair.
+which is linear, then what is left in different components, pair by pair. Candidates
+are held against bitmaps of ``BITS`` parities first: an element that only one of two
+sets has changes one bit at most, so bitmaps that differ in more bits than similar
+sets have such elements prove a pair dissimilar. What remains is compared exactly.
 """
 
 from __future__ import annotations
@@ -36,9 +39,19 @@ from .common import id_key, released, row_key, settled, whole
 WIDTH = 5
 SIMILARITY = 0.8
 #: A shingle in the prefixes of so many different sets is put last in the order.
-HOT_SETS = 32
+HOT_SETS = 8
 #: So many shingles at most are put last, the most frequent: they are sent to every worker, 8 bytes each.
 HOT_KEYS = 65536
+#: Parities in the bitmap of a set.
+BITS = 2048
+#: So many sets at most are named to every worker, 24 bytes each, to read their texts; more are joined by a shuffle.
+NAMED = 65536
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted hashes of a text's different shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *simhash.shingle_hashes(words, width)]))
 
 
 def profile(text: str | None, width: int) -> tuple[int, np.ndarray]:
@@ -48,10 +61,15 @@ def profile(text: str | None, width: int) -> tuple[int, np.ndarray]:
     for hashes in simhash.shingle_hashes(words, width):
         ones += simhash.bit_table(hashes).sum(axis=0, dtype=np.int64)
         n += len(hashes)
-        parts.append(np.unique(hashes))
+        parts.append(hashes)
     return int(np.packbits(2 * ones > n).view(">i8")[0]) if n else 0, np.unique(np.concatenate(parts))
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of the hashes is i modulo BITS."""
+    return np.packbits(np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def prefix(hashes: np.ndarray, similarity: Fraction, hot: np.ndarray) -> np.ndarray:
     """The first n - ceil(similarity n) + 1 of sorted ``hashes``, those in sorted ``hot`` last."""
     n = len(hashes)
@@ -68,28 +86,49 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), whole(F.col("text")).alias("text"))
 
 
-def profiles(docs: DataFrame, width: int, similarity: float, hot: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, row, fp, set, n, prefix) of each row: its fingerprint, a hash and the size of its shingle set, the prefix."""
-    least, late = Fraction(str(similarity)), np.empty(0, np.uint64) if hot is None else hot
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), simhash.SEED) if len(hashes) else 0
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+
+
+def _lists(keys: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
+def profiles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, row, fp, set, n, bits, prefix) of each row: fingerprint; hash, size, bitmap and prefix of its shingle set."""
+    least, none = Fraction(str(similarity)), np.empty(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sets, sizes, keys = [], [], [], []
+            fps, sets = [], []
             for text in batch.column(2):
                 fp, hashes = profile(text.as_py(), width)
                 fps.append(fp)
-                sets.append(xxhash.xxh64_intdigest(hashes.tobytes(), simhash.SEED) if len(hashes) else 0)
-                sizes.append(len(hashes))
-                keys.append(prefix(hashes, least, late).view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)])
-            flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            sets = pa.array(np.array(sets, np.uint64).view(np.int64), pa.int64())
-            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), sets, pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "set", "n", "prefix"])
+                sets.append((_set_id(hashes), len(hashes), bitmap(hashes), prefix(hashes, least, none)))
+            ids, sizes, bits, keys = map(list, zip(*sets, strict=True)) if sets else ([], [], [], [])
+            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), _longs(ids), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "set", "n", "bits", "prefix"])
 
     ship(docs.sparkSession)
-    return _texts(docs).mapInArrow(run, "doc_id long, row long, fp long, set long, n long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, row long, fp long, set long, n long, bits binary, prefix array<long>")
+
+
+def reordered(docs: DataFrame, width: int, similarity: float, hot: np.ndarray) -> DataFrame:
+    """(set, n, prefix) of each row that has a word, the hashes in ``hot`` last in the order."""
+    least = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h for h in (shingle_set(t.as_py(), width) for t in batch.column(2)) if len(h)]
+            columns = [_longs([_set_id(h) for h in sets]), pa.array([len(h) for h in sets], pa.int64()), _lists([prefix(h, least, hot) for h in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=["set", "n", "prefix"])
+
+    return _texts(docs).mapInArrow(run, "set long, n long, prefix array<long>")
 
 
 def frequent(sets: DataFrame) -> np.ndarray:
@@ -104,30 +143,52 @@ def _bodies(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [profile(t.as_py(), width)[1].tobytes() for t in batch.column(1)]
+            bodies = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["set", "body"])
 
-    owners = owners.select("set", F.col("own.i").alias("i"), F.col("own.r").alias("row"))
-    texts = _texts(docs).select(id_key(F.col("doc_id")).alias("i"), "row", "text").join(owners, ["i", "row"])
+    owners = settled(owners.select("set", F.col("own.i").alias("i"), F.col("own.r").alias("row")))
+    named = F.broadcast(owners) if owners.count() <= NAMED else owners
+    texts = _texts(docs).select(id_key(F.col("doc_id")).alias("i"), "row", "text").join(named, ["i", "row"])
     return texts.select("set", "text").mapInArrow(run, "set long, body binary").dropDuplicates(["set"])
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) roots of the ``pairs`` (x, y, a, b) of sets that are similar."""
-    least = Fraction(str(similarity))
+def _both(pairs: DataFrame, of_set: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with the ``column`` that ``of_set`` has for x as ``one`` and for y as ``other``."""
+    one = of_set.select(F.col("set").alias("x"), F.col(column).alias("one"))
+    other = of_set.select(F.col("set").alias("y"), F.col(column).alias("other"))
+    return pairs.join(one, "x").join(other, "y")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, of_set: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) roots of the ``pairs`` (x, y, a, b, total) of sets that are similar; total is both sizes. Settled."""
+    f = Fraction(str(similarity))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["x", "y", "a", "b"]
+            if not batch.num_rows:
+                continue
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("one", "other"))
+            apart = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+            total = batch.column("total").to_numpy()
+            kept = apart * (f.denominator + f.numerator) <= total * (f.denominator - f.numerator)
+            yield batch.select(names).filter(pa.array(kept, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+            for one, other in zip(batch.column("one"), batch.column("other"), strict=True):
                 one, other = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
                 both = len(np.intersect1d(one, other, assume_unique=True))
-                kept.append(both * least.denominator >= (len(one) + len(other) - both) * least.numerator)
+                kept.append(both * f.denominator >= (len(one) + len(other) - both) * f.numerator)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    one = bodies.select(F.col("set").alias("x"), F.col("body").alias("one"))
-    other = bodies.select(F.col("set").alias("y"), F.col("body").alias("other"))
-    return pairs.join(one, "x").join(other, "y").select("a", "b", "one", "other").mapInArrow(run, "a long, b long").distinct()
+    left = settled(_both(pairs, of_set, "bits").mapInArrow(close, "x long, y long, a long, b long"))
+    needed = left.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(of_set.select("set", "own"), "set")
+    bodies = settled(_bodies(docs, needed, width))
+    found = settled(_both(left, bodies, "body").mapInArrow(run, "a long, b long").distinct())
+    released(left, bodies)
+    return found
 
 
 def _possible(similarity: float):
@@ -157,39 +218,40 @@ def rooted(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     ident = F.struct(id_key(F.col("doc_id")).alias("i"), F.col("row").alias("r"))
     nodes = settled(rows.groupBy("fp", "set").agg(F.min(ident).alias("own")))
     nodes_rooted = settled(nodes.join(simhash.linked(nodes.select("fp").distinct(), radius), "fp"))
-    of_set = settled(nodes_rooted.groupBy("set").agg(F.min("root").alias("root"), F.min("own").alias("own")))
-    same = nodes_rooted.select("set", F.col("root").alias("a")).join(of_set.select("set", F.col("root").alias("b")), "set").where("a <> b").select("a", "b")
-
-    sets = rows.where("n > 0").select("set", "n", "prefix").dropDuplicates(["set"])
-    hot = frequent(sets)
+    roots = nodes_rooted.groupBy("set").agg(F.min("root").alias("root"), F.min("own").alias("own"))
+    distinct = rows.where("n > 0").select("set", "n", "bits", "prefix").dropDuplicates(["set"])
+    of_set = settled(distinct.join(roots, "set"))
+    same = nodes_rooted.select("set", F.col("root").alias("a")).join(of_set.select("set", F.col("root").alias("b")), "set")
+    edges = settled(same.where("a <> b").select("a", "b").distinct())
+
+    hot = frequent(of_set)
+    sets = of_set.select("set", "n", "root", "prefix")
     if len(hot):
-        sets = profiles(docs, width, similarity, hot).where("n > 0").select("set", "n", "prefix").dropDuplicates(["set"])
-    sets = settled(sets.join(of_set.select("set", "root"), "set"))
+        new = reordered(docs, width, similarity, hot).dropDuplicates(["set"])
+        sets = settled(new.join(of_set.select("set", "root"), "set"))
     index = sets.select("set", "n", "root", F.posexplode("prefix").alias("pos", "key"))
 
     def mixed(of: DataFrame) -> DataFrame:
         ends = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         return settled(of.join(ends.select("key"), "key"))
 
+    def similar(candidates: DataFrame) -> DataFrame:
+        pairs = candidates.where(_possible(similarity)).select(F.col("set").alias("x"), "y", F.col("root").alias("a"), "b", (F.col("n") + F.col("m")).alias("total"))
+        return _verified(pairs.distinct(), docs, of_set, width, similarity)
+
     open_ = mixed(index)
-    bodies = settled(_bodies(docs, open_.select("set").distinct().join(of_set.select("set", "own"), "set"), width))
-    edges = settled(same.distinct())
     for end in (F.min, F.max):
         against = open_.groupBy("key").agg(end(F.struct("set", "n", "root", "pos")).alias("p"))
         against = against.select("key", F.col("p.set").alias("y"), F.col("p.n").alias("m"), F.col("p.root").alias("b"), F.col("p.pos").alias("at"))
-        stars = open_.join(against, "key").where(F.col("root") != F.col("b")).where(_possible(similarity))
-        pairs = stars.select(F.col("set").alias("x"), "y", F.col("root").alias("a"), "b").distinct()
-        found = settled(_verified(pairs, bodies, similarity))
+        found = similar(open_.join(against, "key").where(F.col("root") != F.col("b")))
         edges = edges.unionByName(found)
         last, open_ = open_, mixed(_renamed(open_, found))
         released(last)
     other = open_.select("key", F.col("set").alias("y"), F.col("n").alias("m"), F.col("root").alias("b"), F.col("pos").alias("at"))
-    pairs = open_.join(other, "key").where(F.col("root") < F.col("b")).where(_possible(similarity))
-    pairs = pairs.select(F.col("set").alias("x"), "y", F.col("root").alias("a"), "b").distinct()
-    # Roots of the last round are roots of the first one too, each the smallest of its component.
-    edges = edges.unionByName(_verified(pairs, bodies, similarity))
+    edges = edges.unionByName(similar(open_.join(other, "key").where(F.col("root") < F.col("b"))))
+    # A round's roots are roots of the first too, the smallest of their components, so all edges meet in one graph.
     found = settled(_renamed(nodes_rooted, edges).select("fp", "set", "own", "root"))
-    released(rows, nodes, nodes_rooted, of_set, sets, open_, bodies)
+    released(rows, nodes, nodes_rooted, of_set, sets, open_)
     return found
 
 
