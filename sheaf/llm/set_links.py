@@ -8,10 +8,11 @@ shingles have a Jaccard similarity of ``SIMILARITY`` or more, all such pairs.
 The completion is a set-similarity join with prefix, length and positional
 filters. In any one order of all shingles, two sets of that similarity share a
 shingle among the first n - ceil(s n) + 1 of each. The order is that of the
-hashes, with the most frequent shingles of all prefixes (``HOT_KEYS`` of them at
-most) put last: passages that many documents share then select nothing, and a
-text of which a fifth is its own is a candidate of none. The order decides only
-how many candidates there are, never which links are found.
+hashes, with frequent shingles (the ``HOT_KEYS`` most frequent at most) put last:
+passages that many documents share then select nothing, and a text of which a
+fifth is its own is a candidate of none. For that, every text counts an eighth of
+its shingles, another eighth in each text. The order decides only how many
+candidates there are, never which links are found.
 
 Work is done on distinct sets, and only for shingles that join different
 components: first each set against the smallest and the greatest under a shingle,
@@ -38,8 +39,8 @@ from .common import id_key, released, row_key, settled, whole
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: A shingle in the prefixes of so many different sets is put last in the order.
-HOT_SETS = 8
+#: A shingle that so many different sets count is put last in the order.
+HOT_SETS = 4
 #: So many shingles at most are put last, the most frequent: they are sent to every worker, 8 bytes each.
 HOT_KEYS = 65536
 #: Parities in the bitmap of a set.
@@ -86,6 +87,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("row"), whole(F.col("text")).alias("text"))
 
 
+def counted(hashes: np.ndarray, set_id: int) -> np.ndarray:
+    """The eighth of a set's hashes that it counts, which depends on the set."""
+    return hashes[((hashes ^ np.uint64(set_id)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61) == 0]
+
+
 def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), simhash.SEED) if len(hashes) else 0
 
@@ -99,9 +105,8 @@ def _lists(keys: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat, pa.int64()))
 
 
-def profiles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, row, fp, set, n, bits, prefix) of each row: fingerprint; hash, size, bitmap and prefix of its shingle set."""
-    least, none = Fraction(str(similarity)), np.empty(0, np.uint64)
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, row, fp, set, n, bits, counted) of each row: fingerprint; hash, size, bitmap and counted part of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,13 +114,14 @@ def profiles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             for text in batch.column(2):
                 fp, hashes = profile(text.as_py(), width)
                 fps.append(fp)
-                sets.append((_set_id(hashes), len(hashes), bitmap(hashes), prefix(hashes, least, none)))
+                set_id = _set_id(hashes)
+                sets.append((set_id, len(hashes), bitmap(hashes), counted(hashes, set_id)))
             ids, sizes, bits, keys = map(list, zip(*sets, strict=True)) if sets else ([], [], [], [])
             columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), _longs(ids), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "set", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "set", "n", "bits", "counted"])
 
     ship(docs.sparkSession)
-    return _texts(docs).mapInArrow(run, "doc_id long, row long, fp long, set long, n long, bits binary, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, row long, fp long, set long, n long, bits binary, counted array<long>")
 
 
 def reordered(docs: DataFrame, width: int, similarity: float, hot: np.ndarray) -> DataFrame:
@@ -132,8 +138,8 @@ def reordered(docs: DataFrame, width: int, similarity: float, hot: np.ndarray) -
 
 
 def frequent(sets: DataFrame) -> np.ndarray:
-    """The sorted hashes that stand in the prefixes of HOT_SETS sets or more, HOT_KEYS of them at most."""
-    counts = sets.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SETS)
+    """The sorted hashes that HOT_SETS sets or more count, HOT_KEYS of them at most."""
+    counts = sets.select(F.explode("counted").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SETS)
     rows = counts.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
@@ -214,21 +220,18 @@ def _renamed(df: DataFrame, edges: DataFrame) -> DataFrame:
 
 def rooted(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = simhash.RADIUS) -> DataFrame:
     """(fp, set, own, root): each different fingerprint and set, its smallest (id, row), its component; settled."""
-    rows = settled(profiles(docs, width, similarity))
+    rows = settled(profiles(docs, width))
     ident = F.struct(id_key(F.col("doc_id")).alias("i"), F.col("row").alias("r"))
     nodes = settled(rows.groupBy("fp", "set").agg(F.min(ident).alias("own")))
     nodes_rooted = settled(nodes.join(simhash.linked(nodes.select("fp").distinct(), radius), "fp"))
     roots = nodes_rooted.groupBy("set").agg(F.min("root").alias("root"), F.min("own").alias("own"))
-    distinct = rows.where("n > 0").select("set", "n", "bits", "prefix").dropDuplicates(["set"])
+    distinct = rows.where("n > 0").select("set", "n", "bits", "counted").dropDuplicates(["set"])
     of_set = settled(distinct.join(roots, "set"))
     same = nodes_rooted.select("set", F.col("root").alias("a")).join(of_set.select("set", F.col("root").alias("b")), "set")
     edges = settled(same.where("a <> b").select("a", "b").distinct())
 
-    hot = frequent(of_set)
-    sets = of_set.select("set", "n", "root", "prefix")
-    if len(hot):
-        new = reordered(docs, width, similarity, hot).dropDuplicates(["set"])
-        sets = settled(new.join(of_set.select("set", "root"), "set"))
+    prefixes = reordered(docs, width, similarity, frequent(of_set)).dropDuplicates(["set"])
+    sets = settled(prefixes.join(of_set.select("set", "root"), "set"))
     index = sets.select("set", "n", "root", F.posexplode("prefix").alias("pos", "key"))
 
     def mixed(of: DataFrame) -> DataFrame:
