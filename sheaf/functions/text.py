@@ -45,6 +45,19 @@ def normalised(value: Column) -> Column:
     return fold(value)
 
 
+def compatible(value: Column) -> Column:
+    """Compatibility form, case folded, nothing left out; no expression of Spark's does either, so an Arrow function."""
+
+    ship()
+
+    @F.pandas_udf("string")
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+
+    return fold(value)
+
+
 def normalised_ascii(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(value), "[^a-z0-9]", ""), F.lit(""))
 
@@ -86,3 +99,16 @@ def wrapped(text: Column, widths: Column, limit: float) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0.0).alias("width"))
     return F.aggregate(F.split(text, ""), start, step, lambda s: F.concat(s["lines"], F.array(s["line"])))
+
+
+def truncated(lines: Column, widths: Column, limit: float, most: int) -> Column:
+    """At most so many lines; the last one left ends in an ellipsis, and is cut so that both fit."""
+    wide = lambda c: F.coalesce(F.try_element_at(widths, c), F.lit(1.0))
+
+    def step(state: Column, c: Column) -> Column:
+        width = state["width"] + wide(c)
+        return F.struct(F.when(width <= limit, F.concat(state["line"], c)).otherwise(state["line"]).alias("line"), width.alias("width"))
+
+    start = F.struct(F.lit("").alias("line"), wide(F.lit("…")).alias("width"))
+    last = F.aggregate(F.split(F.get(lines, F.lit(most - 1)), ""), start, step, lambda s: F.concat(s["line"], F.lit("…")))
+    return F.when(F.size(lines) <= most, lines).otherwise(F.concat(F.slice(lines, 1, most - 1), F.array(last)))

@@ -81,3 +81,25 @@ def valid_expectation(cases: DataFrame) -> DataFrame:
     groups_fine = F.forall("association_groups", lambda g: (F.size(g) > 0) & (F.size(F.array_distinct(g)) == F.size(g)))
     codes_fine = F.forall("warning_codes", lambda c: c.rlike(r"^[a-z0-9_]+\z"))
     return cases.withColumn("valid", F.coalesce(keys_fine & unique & groups_fine & codes_fine, F.lit(False)))
+
+
+def placed_keys(placements: DataFrame, keyed: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """(keys, ordinal, key, output_page, valid): placements by page key, in order of output page, y, x and key.
+
+    ``placements``: page_id, output_page, x, y; ``keyed``: page_id, key. Invalid are an
+    unknown page, a null or negative output page, and coordinates that are no numbers.
+    """
+    found = placements.join(keyed.select(*keys, "page_id", "key"), [*keys, "page_id"], "left")
+    valid = F.col("key").isNotNull() & (F.col("output_page") >= 0) & F.col("x").isNotNull() & F.col("y").isNotNull()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("output_page", "y", "x", "key"))
+    return found.select(*keys, place.alias("ordinal"), "key", "output_page", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def group_keys(groups: DataFrame, keyed: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """(keys, members): each distinct set of page keys that the groups (group_id, page_ids) give; null where a page is unknown or repeated."""
+    places = groups.select(*keys, "group_id", F.explode_outer("page_ids").alias("page_id"))
+    found = places.join(keyed.select(*keys, "page_id", "key"), [*keys, "page_id"], "left").groupBy(*keys, "group_id").agg(
+        F.array_sort(F.collect_list("key")).alias("members"), F.count("*").alias("__n")
+    )
+    whole = (F.size("members") == F.col("__n")) & (F.size(F.array_distinct("members")) == F.col("__n"))
+    return found.select(*keys, F.when(whole, F.col("members")).alias("members")).distinct()

@@ -119,3 +119,10 @@ def that_fit(rows: DataFrame, height: str, room: float, *order: str, keys: tuple
     """The prefix of a batch's rows whose heights fit a page: the first one that doesn't ends it."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("__h", F.sum(height).over(w)).where(F.col("__h") <= room).drop("__h")
+
+
+def review_page(rows: DataFrame, height: str, room: float, *order: str, keys: tuple[str, ...] = ("batch_id",)) -> DataFrame:
+    """(keys, n_shown, n_omitted): how many of a batch's rows a page holds, and how many it has to refer to the report."""
+    shown = that_fit(rows, height, room, *order, keys=keys).groupBy(*keys).agg(F.count("*").alias("n_shown"))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("__n")).join(shown, list(keys), "left").fillna(0, ["n_shown"])
+    return counted.select(*keys, "n_shown", (F.col("__n") - F.col("n_shown")).alias("n_omitted"))

@@ -46,7 +46,7 @@ def run(pages: DataFrame, settings: Settings, ascii_only: bool = False) -> Outco
     matched = settled(linkage.matches(pairs, rejected))
     grouped = settled(linkage.groups(open_, matched))
     lone = linkage.unmatched(open_, pairs, rejected, matched)
-    lone_issues = lone.select(*issues.issue(F.col("batch_id"), F.col("code"), F.array("support_id")))
+    lone_issues = lone.select(*issues.issue(F.col("batch_id"), F.col("code"), F.array("support_id"), texts=issues.LINK_TEXTS))
     numbered = grouped.withColumn("group_seq", F.row_number().over(Window.partitionBy("batch_id").orderBy("rank", "members")))
     listed = numbered.select("batch_id", "group_seq", F.posexplode(F.concat("primary_page_ids", "support_page_ids")).alias("item_seq", "page_id"))
     sized = settled(layout.size_bounds(listed.join(open_, ["batch_id", "page_id"]), settings))

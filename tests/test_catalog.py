@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sheaf.plans import catalog
+from sheaf.plans import catalog, checks  # noqa: F401 - registers its queries
 
 SF = "/root/testdata/sf0.001"
 

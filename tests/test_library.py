@@ -89,7 +89,8 @@ def test_gate_and_orders(spark):
     verdict = {r.batch_id: (r.n_issues, r.n_hard, r.passed) for r in issues.gate(found).collect()}
     assert verdict == {"a": (2, 1, False), "b": (1, 0, True)}
     assert [r.code for r in issues.verification_order(found).collect()][0] == "placement_overlap"
-    assert issues.final_order(found).first().code == "low_source_resolution"
+    # by severity's name first, and hard codes are errors
+    assert [(r.severity, r.code) for r in issues.final_order(found).collect()][:2] == [("error", "placement_overlap"), ("warning", "low_source_resolution")]
 
 
 def test_first_by_digest_and_fingerprint(spark):
