@@ -761,7 +761,33 @@ def gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gate(accuracy.join(evaluation.coverage(e, a), "case_id").join(warned, "case_id"))
 
 
-@query()
+@query("""
+WITH px AS MATERIALIZED (
+  SELECT doc_id, i % 24 AS x, i // 24 AS y,
+         CASE WHEN i % 24 >= doc_id % 5 AND i % 24 < doc_id % 5 + 8 AND i // 24 >= 4 AND i // 24 < 10 THEN 20 WHEN doc_id % 7 = 0 THEN (i * 9) % 200 ELSE 255 END AS v
+  FROM documents, range(384) t(i) WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0
+), bg AS (SELECT doc_id, trunc(median(v)) AS b FROM px WHERE x IN (0, 23) AND y IN (0, 15) GROUP BY doc_id),
+p AS MATERIALIZED (SELECT px.*, abs(v - b) AS far FROM px JOIN bg ON px.doc_id = bg.doc_id),
+outer_parts AS (
+  SELECT doc_id, r, v, far FROM p, unnest([CASE WHEN x IN (0, 23) AND y IN (0, 15) THEN 'corner' END, CASE WHEN y = 0 THEN 'top' END, CASE WHEN y = 15 THEN 'bottom' END,
+                                           CASE WHEN x = 0 THEN 'left' END, CASE WHEN x = 23 THEN 'right' END]) u(r) WHERE r IS NOT NULL
+), plain AS (
+  SELECT doc_id, r, avg(CASE WHEN far <= 10 THEN 1.0 ELSE 0.0 END) >= 0.98 AND stddev_pop(v) <= 4 AND max(v) - min(v) <= 4 AS fine FROM outer_parts GROUP BY doc_id, r
+), c AS (SELECT doc_id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM p WHERE far > 10 GROUP BY doc_id),
+f AS (
+  SELECT doc_id, least(round((l - 1) / 24, 10), 0.29) AS x0, least(round((t - 1) / 16, 10), 0.29) AS y0, greatest(round((r + 2) / 24, 10), 0.41) AS x1, greatest(round((b + 2) / 16, 10), 0.41) AS y1
+  FROM c WHERE l > 1 AND t > 1 AND r < 22 AND b < 14 AND doc_id NOT IN (SELECT doc_id FROM plain WHERE NOT fine)
+), removed AS (
+  SELECT p.doc_id, u.r, avg(CASE WHEN far <= 10 THEN 1.0 ELSE 0.0 END) >= 0.98 AND stddev_pop(v) <= 4 AND max(v) - min(v) <= 4 AS fine
+  FROM p JOIN f ON p.doc_id = f.doc_id, unnest([CASE WHEN x < floor(x0 * 24 + 1e-9) THEN 'left' END, CASE WHEN x >= ceil(x1 * 24 - 1e-9) THEN 'right' END,
+                                               CASE WHEN y < floor(y0 * 16 + 1e-9) THEN 'top' END, CASE WHEN y >= ceil(y1 * 16 - 1e-9) THEN 'bottom' END]) u(r)
+  WHERE u.r IS NOT NULL GROUP BY p.doc_id, u.r
+), good AS (SELECT * FROM f WHERE doc_id NOT IN (SELECT doc_id FROM removed WHERE NOT fine))
+SELECT d.source AS batch_id, CAST(d.doc_id AS VARCHAR) AS page_id, CAST(coalesce(x0, 0) AS DOUBLE) AS x0, CAST(coalesce(y0, 0) AS DOUBLE) AS y0,
+       CAST(coalesce(x1, 1) AS DOUBLE) AS x1, CAST(coalesce(y1, 1) AS DOUBLE) AS y1,
+       CASE WHEN d.doc_id % 11 = 0 THEN 'crop_physical_ticket_photo' WHEN d.doc_id % 13 = 0 THEN 'crop_low_observation_confidence' WHEN g.doc_id IS NULL THEN 'crop_uncertain' END AS code
+FROM documents d LEFT JOIN good g ON d.doc_id = g.doc_id
+""")
 def crop_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic previews of 24 x 16 pixels: a dark rectangle on white, on a gradient, or at the border."""
     doc = F.col("doc_id")
