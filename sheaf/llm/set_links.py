@@ -224,9 +224,11 @@ def rooted(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     ident = F.struct(id_key(F.col("doc_id")).alias("i"), F.col("row").alias("r"))
     nodes = settled(rows.groupBy("fp", "set").agg(F.min(ident).alias("own")))
     nodes_rooted = settled(nodes.join(simhash.linked(nodes.select("fp").distinct(), radius), "fp"))
+    released(nodes)
     roots = nodes_rooted.groupBy("set").agg(F.min("root").alias("root"), F.min("own").alias("own"))
     distinct = rows.where("n > 0").select("set", "n", "bits", "counted").dropDuplicates(["set"])
     of_set = settled(distinct.join(roots, "set"))
+    released(rows)
     same = nodes_rooted.select("set", F.col("root").alias("a")).join(of_set.select("set", F.col("root").alias("b")), "set")
     edges = settled(same.where("a <> b").select("a", "b").distinct())
 
@@ -243,6 +245,7 @@ def rooted(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
         return _verified(pairs.distinct(), docs, of_set, width, similarity)
 
     open_ = mixed(index)
+    released(sets)
     for end in (F.min, F.max):
         against = open_.groupBy("key").agg(end(F.struct("set", "n", "root", "pos")).alias("p"))
         against = against.select("key", F.col("p.set").alias("y"), F.col("p.n").alias("m"), F.col("p.root").alias("b"), F.col("p.pos").alias("at"))
@@ -254,7 +257,7 @@ def rooted(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     edges = edges.unionByName(similar(open_.join(other, "key").where(F.col("root") < F.col("b"))))
     # A round's roots are roots of the first too, the smallest of their components, so all edges meet in one graph.
     found = settled(_renamed(nodes_rooted, edges).select("fp", "set", "own", "root"))
-    released(rows, nodes, nodes_rooted, of_set, sets, open_)
+    released(nodes_rooted, of_set, open_)
     return found
 
 
