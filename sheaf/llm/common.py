@@ -55,6 +55,16 @@ def id_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by a shuffle with a table that grows with the input too, never by broadcast.
+
+    Spark takes the size of a table from its compressed files and doesn't count the rows
+    that ``explode`` makes of one. By its default threshold it would gather many times
+    as many bytes on the driver as it allows, which runs out of memory there.
+    """
+    return df.hint("merge")
+
+
 def documents_again(df: DataFrame) -> DataFrame:
     """The columns of ``documents``, ``n_chars`` counted anew."""
     return df.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import id_key, released, row_key, settled, whole
+from .common import id_key, released, row_key, settled, shuffled, whole
 
 RADIUS = 3
 SEED = 42
@@ -165,15 +165,15 @@ def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("two segments with one wildcard find pairs that differ in 3 bits at most")
     index = variants(_spread(nodes))
     pivots = index.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("pivot < top").select("key", "pivot")
-    stars = index.join(pivots, "key").where((F.col("fp") != F.col("pivot")) & near("fp", "pivot", radius))
+    stars = shuffled(index).join(pivots, "key").where((F.col("fp") != F.col("pivot")) & near("fp", "pivot", radius))
     stars = settled(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
     known = _labelled(nodes, stars)
     index = variants(_spread(known), "root")
     mixed = index.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = settled(index.join(mixed, "key"))
+    open_ = settled(shuffled(index).join(mixed, "key"))
     left = _blocks(open_.select("key", "fp", F.col("root").alias("ra"))).withColumnRenamed("fp", "a")
     right = _blocks(open_.select("key", "fp", F.col("root").alias("rb"))).withColumnRenamed("fp", "b")
-    more = left.join(right, ["key", "block"]).where((F.col("ra") < F.col("rb")) & near("a", "b", radius)).select("ra", "rb")
+    more = shuffled(left).join(right, ["key", "block"]).where((F.col("ra") < F.col("rb")) & near("a", "b", radius)).select("ra", "rb")
     more = more.groupBy("ra", "rb").agg(F.lit(1).alias("one"))
     merged = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     merged = merged.select(F.col("node").alias("root"), F.col("root").alias("final"))
@@ -195,7 +195,7 @@ def _looked_up(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     light = found.where(F.col("n") < least).select("fp", *columns)
     marked = rows.join(F.broadcast(heavy), F.col("fp") == F.col("h"), "left")
     of_heavy = marked.where("heavy").select(*rows.columns, *[F.col(f"h_{c}").alias(c) for c in columns])
-    return of_heavy.unionByName(marked.where("heavy IS NULL").select(*rows.columns).join(light, "fp").select(*rows.columns, *columns))
+    return of_heavy.unionByName(marked.where("heavy IS NULL").select(*rows.columns).join(shuffled(light), "fp").select(*rows.columns, *columns))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -221,7 +221,7 @@ def _rooted(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFr
     rows = settled(fingerprints(docs, width))
     ident = F.struct(id_key(F.col("doc_id")).alias("i"), F.col("row").alias("r"))
     nodes = settled(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.min(ident).alias("own")))
-    of_root = nodes.join(linked(nodes.select("fp"), radius), "fp")
+    of_root = shuffled(nodes).join(linked(nodes.select("fp"), radius), "fp")
     first = of_root.groupBy("root").agg(F.min("id").alias("component_id"), F.min("own").alias("first"))
     found = settled(of_root.join(first, "root").select("fp", "n", "component_id", "first"))
     released(nodes)

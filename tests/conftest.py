@@ -1,5 +1,6 @@
 import os
 import sys
+from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
@@ -26,3 +27,31 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def broadcasts(spark):
+    """A context under a broadcast threshold; what it gives holds afterwards the rows of each table that was broadcast."""
+    store, conf = spark._jsparkSession.sharedState().statusStore(), "spark.sql.autoBroadcastJoinThreshold"
+
+    @contextmanager
+    def under(threshold):
+        sent, first = [], max((e.executionId() for e in _items(store.executionsList())), default=-1)
+        spark.conf.set(conf, threshold)
+        try:
+            yield sent
+        finally:
+            spark.conf.unset(conf)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for e in (e.executionId() for e in _items(store.executionsList()) if e.executionId() > first):
+            values = store.executionMetrics(e)
+            for node in _items(store.planGraph(e).allNodes()):
+                if node.name() == "BroadcastExchange":
+                    found = [values.get(m.accumulatorId()) for m in _items(node.metrics()) if m.name() == "number of output rows"]
+                    sent += [int(v.get().replace(",", "")) for v in found if v.isDefined()]
+
+    return under
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]

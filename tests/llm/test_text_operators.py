@@ -102,6 +102,17 @@ def test_components_of_a_long_path_and_of_many_under_one_key(spark):
     assert len(set(rows.values())) >= 290
 
 
+def test_links_send_no_exploded_table_to_the_driver(spark, broadcasts):
+    draw = random.Random(6)
+    base = [draw.getrandbits(64) for _ in range(40)]
+    some = {b ^ sum(1 << k for k in draw.sample(range(64), draw.randrange(4))) for b in base for _ in range(50)}
+    nodes = simhash.settled(spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in sorted(some)], "fp long"))
+    with broadcasts("96k") as sent:
+        rows = simhash.linked(nodes).collect()
+    assert len(rows) == len(some) and len({r.root for r in rows}) <= len(base)
+    assert max(sent, default=0) <= 4 * len(some)
+
+
 def test_keep_one_keeps_the_smallest_id_of_each_group(spark):
     docs = documents(spark, ["same words here now", "same words here now", "other text altogether yes", "same words here now", None, ""], [5, 2, 7, 2, 9, None])
     kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
