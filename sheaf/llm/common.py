@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import released, settled
+from ..durable import released, settled, swept
 
 #: Bytes that count as white space in every word pattern here: space, \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -24,7 +24,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 9223372036854775807
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-__all__ = ["released", "settled"]
+__all__ = ["released", "settled", "swept"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

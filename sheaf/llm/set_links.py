@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import simhash
-from .common import id_key, released, row_key, settled, whole
+from .common import id_key, released, row_key, settled, shuffled, swept, whole
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -153,7 +153,7 @@ def _bodies(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], names=["set", "body"])
 
     owners = settled(owners.select("set", F.col("own.i").alias("i"), F.col("own.r").alias("row")))
-    named = F.broadcast(owners) if owners.count() <= NAMED else owners
+    named = F.broadcast(owners) if owners.count() <= NAMED else shuffled(owners)
     texts = _texts(docs).select(id_key(F.col("doc_id")).alias("i"), "row", "text").join(named, ["i", "row"])
     return texts.select("set", "text").mapInArrow(run, "set long, body binary").dropDuplicates(["set"])
 
@@ -189,11 +189,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, of_set: DataFrame, width: int,
                 kept.append(both * f.denominator >= (len(one) + len(other) - both) * f.numerator)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    left = settled(_both(pairs, of_set, "bits").mapInArrow(close, "x long, y long, a long, b long"))
-    needed = left.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(of_set.select("set", "own"), "set")
+    left = settled(_both(pairs, shuffled(of_set), "bits").mapInArrow(close, "x long, y long, a long, b long"))
+    swept(docs.sparkSession)
+    needed = left.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(shuffled(of_set.select("set", "own")), "set")
     bodies = settled(_bodies(docs, needed, width))
+    swept(docs.sparkSession)
     found = settled(_both(left, bodies, "body").mapInArrow(run, "a long, b long").distinct())
     released(left, bodies)
+    swept(docs.sparkSession)
     return found
 
 
@@ -223,22 +226,25 @@ def rooted(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     rows = settled(profiles(docs, width))
     ident = F.struct(id_key(F.col("doc_id")).alias("i"), F.col("row").alias("r"))
     nodes = settled(rows.groupBy("fp", "set").agg(F.min(ident).alias("own")))
-    nodes_rooted = settled(nodes.join(simhash.linked(nodes.select("fp").distinct(), radius), "fp"))
+    nodes_rooted = settled(shuffled(nodes).join(simhash.linked(nodes.select("fp").distinct(), radius), "fp"))
     released(nodes)
+    swept(docs.sparkSession)
     roots = nodes_rooted.groupBy("set").agg(F.min("root").alias("root"), F.min("own").alias("own"))
     distinct = rows.where("n > 0").select("set", "n", "bits", "counted").dropDuplicates(["set"])
     of_set = settled(distinct.join(roots, "set"))
     released(rows)
-    same = nodes_rooted.select("set", F.col("root").alias("a")).join(of_set.select("set", F.col("root").alias("b")), "set")
+    swept(docs.sparkSession)
+    same = nodes_rooted.select("set", F.col("root").alias("a")).join(shuffled(of_set.select("set", F.col("root").alias("b"))), "set")
     edges = settled(same.where("a <> b").select("a", "b").distinct())
 
     prefixes = reordered(docs, width, similarity, frequent(of_set)).dropDuplicates(["set"])
-    sets = settled(prefixes.join(of_set.select("set", "root"), "set"))
+    sets = settled(prefixes.join(shuffled(of_set.select("set", "root")), "set"))
+    swept(docs.sparkSession)
     index = sets.select("set", "n", "root", F.posexplode("prefix").alias("pos", "key"))
 
     def mixed(of: DataFrame) -> DataFrame:
         ends = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        return settled(of.join(ends.select("key"), "key"))
+        return settled(shuffled(of).join(ends.select("key"), "key"))
 
     def similar(candidates: DataFrame) -> DataFrame:
         pairs = candidates.where(_possible(similarity)).select(F.col("set").alias("x"), "y", F.col("root").alias("a"), "b", (F.col("n") + F.col("m")).alias("total"))
@@ -246,15 +252,17 @@ def rooted(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
 
     open_ = mixed(index)
     released(sets)
+    swept(docs.sparkSession)
     for end in (F.min, F.max):
         against = open_.groupBy("key").agg(end(F.struct("set", "n", "root", "pos")).alias("p"))
         against = against.select("key", F.col("p.set").alias("y"), F.col("p.n").alias("m"), F.col("p.root").alias("b"), F.col("p.pos").alias("at"))
-        found = similar(open_.join(against, "key").where(F.col("root") != F.col("b")))
+        found = similar(shuffled(open_).join(against, "key").where(F.col("root") != F.col("b")))
         edges = edges.unionByName(found)
         last, open_ = open_, mixed(_renamed(open_, found))
         released(last)
+        swept(docs.sparkSession)
     other = open_.select("key", F.col("set").alias("y"), F.col("n").alias("m"), F.col("root").alias("b"), F.col("pos").alias("at"))
-    edges = edges.unionByName(similar(open_.join(other, "key").where(F.col("root") < F.col("b"))))
+    edges = edges.unionByName(similar(shuffled(open_).join(other, "key").where(F.col("root") < F.col("b"))))
     # A round's roots are roots of the first too, the smallest of their components, so all edges meet in one graph.
     found = settled(_renamed(nodes_rooted, edges).select("fp", "set", "own", "root"))
     released(nodes_rooted, of_set, open_)

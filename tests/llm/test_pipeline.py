@@ -60,6 +60,17 @@ def test_near_dedup_links_all_pairs_of_similarity(spark, monkeypatch):
     assert set_links.keep_one(docs.limit(0)).collect() == []
 
 
+def test_near_dedup_sends_no_exploded_table_to_the_driver(spark, broadcasts):
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.getrandbits(16)}" for _ in range(150)) for _ in range(250)]
+    texts += [t.replace("w", "v", draw.randrange(4)) for t in texts[:150]]
+    docs = common.settled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    with broadcasts("160k") as sent:
+        kept = {r.doc_id for r in set_links.keep_one(docs).collect()}
+    assert kept == smallest_of_groups(dict(enumerate(texts)))
+    assert max(sent, default=0) <= 160 * 1024 // 24
+
+
 def test_stages_decide_as_their_operators(spark):
     from pyspark.sql import functions as F
 
