@@ -53,11 +53,6 @@ def released(*tables: DataFrame) -> None:
             _delete(_settled.pop(path), path)
 
 
-def swept(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of steps that are over, which else stay until the driver's heap is full."""
-    spark._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
