@@ -9,8 +9,9 @@ of keys gives candidates, ``bit_count`` of the exclusive or verifies them.
 Copies collapse before the index: it holds distinct fingerprints. Within a key
 every fingerprint is first compared with the smallest one only, which is linear
 however large the key's group is; what that leaves open, pairs in different
-components under one key, is compared in a second equality join. Components
-come from alternating large-star and small-star rounds over settled tables.
+components under one key, is compared in a second equality join, each pair with
+an equal segment under one of its 32 keys only. Components come from alternating
+large-star and small-star rounds over settled tables.
 """
 
 from __future__ import annotations
@@ -144,16 +145,41 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _wildcard():
+    """The bit of a fingerprint that a ``key`` leaves out."""
+    return F.shiftrightunsigned("key", 32).cast("int")
+
+
+def _telling(index: DataFrame) -> DataFrame:
+    """Rows of ``index`` under keys of which a pair can be new.
+
+    Fingerprints with an equal segment share all its 32 keys: they are compared under
+    that of its lowest bit only. Every other key is for pairs that differ in its
+    wildcard bit and needs rows with either value of it.
+    """
+    bit = F.call_function("shiftrightunsigned", F.col("fp"), _wildcard()).bitwiseAND(F.lit(1))
+    ends = index.groupBy("key").agg(F.min(bit).alias("lo"), F.max(bit).alias("hi"))
+    return shuffled(index).join(ends.where((_wildcard() % 32 == 0) | (F.col("lo") < F.col("hi"))).select("key"), "key")
+
+
 def _blocks(index: DataFrame) -> DataFrame:
-    """Rows of ``index`` under each of four blocks of the segment that the key doesn't cover.
+    """Rows of ``index`` under each block of the segment that the key doesn't cover.
 
     Fingerprints within 3 bits that share a key differ in at most 3 bits of the other
-    segment, so one of its four blocks is equal: a key that very many fingerprints
-    share is cut into 256 groups a block, and no pair is lost.
+    segment, so one of its four blocks of 8 bits is equal, and in at most 2 if they
+    differ in the wildcard bit, so one of three blocks of 11, 11 and 10 bits is: a key
+    that very many fingerprints share is cut into 256 or 2,048 groups a block, and no
+    pair is lost.
     """
     other = F.when(F.col("key").bitwiseAND(F.lit(1 << 37)) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    block = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i * 256 + F.call_function("shiftright", other, i * 8).bitwiseAND(F.lit(255)).cast("int"))
-    return index.select("*", F.explode(block).alias("block"))
+
+    def cut(n: int, width: int):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda i: i * 2048 + F.call_function("shiftright", other, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int"),
+        )
+
+    return index.select("*", F.explode(F.when(_wildcard() % 32 == 0, cut(4, 8)).otherwise(cut(3, 11))).alias("block"))
 
 
 def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -170,7 +196,9 @@ def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     known = _labelled(nodes, stars)
     index = variants(_spread(known), "root")
     mixed = index.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = settled(shuffled(index).join(mixed, "key"))
+    mixed_rows = settled(shuffled(index).join(mixed, "key"))
+    open_ = settled(_telling(mixed_rows))
+    released(mixed_rows)
     left = _blocks(open_.select("key", "fp", F.col("root").alias("ra"))).withColumnRenamed("fp", "a")
     right = _blocks(open_.select("key", "fp", F.col("root").alias("rb"))).withColumnRenamed("fp", "b")
     more = shuffled(left).join(right, ["key", "block"]).where((F.col("ra") < F.col("rb")) & near("a", "b", radius)).select("ra", "rb")

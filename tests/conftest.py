@@ -53,5 +53,24 @@ def broadcasts(spark):
     return under
 
 
+@pytest.fixture
+def made(spark):
+    """A context; what it gives holds afterwards (description, rows) of each operator named so that ran in it."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    @contextmanager
+    def by(name):
+        found, first = [], max((e.executionId() for e in _items(store.executionsList())), default=-1)
+        yield found
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for e in (e.executionId() for e in _items(store.executionsList()) if e.executionId() > first):
+            values = store.executionMetrics(e)
+            for node in _items(store.planGraph(e).allNodes()):
+                rows = [values.get(m.accumulatorId()) for m in _items(node.metrics()) if node.name() == name and m.name() == "number of output rows"]
+                found += [(node.desc(), int(v.get().replace(",", ""))) for v in rows if v.isDefined()]
+
+    return by
+
+
 def _items(seq):
     return [seq.apply(i) for i in range(seq.size())]

@@ -113,6 +113,32 @@ def test_links_send_no_exploded_table_to_the_driver(spark, broadcasts):
     assert max(sent, default=0) <= 4 * len(some)
 
 
+def test_pairs_with_an_equal_segment_are_compared_under_one_key(spark, made):
+    # One low or high segment, the others in pairs two bits apart.
+    draw = random.Random(8)
+    parts = [x ^ y for x in (draw.getrandbits(31) for _ in range(150)) for y in (0, 0b101 << 20)]
+    some = sorted({(7 << 32) + x for x in parts} | {(x << 32) + 9 for x in parts})
+    nodes = simhash.settled(spark.createDataFrame([(x,) for x in some], "fp long"))
+    with made("Generate") as ran:
+        rows = {r.fp: r.root for r in simhash.linked(nodes).collect()}
+    assert all(rows[a] == rows[b] for a in some for b in some if (a ^ b).bit_count() <= 3)
+    cut = [n for what, n in ran if "[block#" in what]
+    # Four blocks under one key on either side; under all 32 keys it would be 128.
+    assert cut and sum(cut) <= 2 * 4 * len(some)
+
+
+def test_every_pair_within_the_radius_is_compared(spark):
+    draw = random.Random(9)
+    base = draw.getrandbits(64)
+    flips = [(), *((p,) for p in range(64)), *(tuple(draw.sample(range(64), k)) for k in (2, 3, 4, 5) for _ in range(60))]
+    some = sorted({x - 2**64 if x >= 2**63 else x for x in (base ^ sum(1 << p for p in f) for f in flips)})
+    index = simhash.variants(spark.createDataFrame([(x,) for x in some], "fp long").withColumn("root", F.col("fp")), "root")
+    blocks = simhash._blocks(simhash._telling(simhash.settled(index))).select("key", "block", "fp")
+    pairs = simhash.settled(blocks).join(blocks.withColumnRenamed("fp", "b"), ["key", "block"]).where("fp < b").select("fp", "b").distinct()
+    found = {(r.fp, r.b) for r in pairs.collect()}
+    assert {(a, b) for a in some for b in some if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3} <= found
+
+
 def test_keep_one_keeps_the_smallest_id_of_each_group(spark):
     docs = documents(spark, ["same words here now", "same words here now", "other text altogether yes", "same words here now", None, ""], [5, 2, 7, 2, 9, None])
     kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
