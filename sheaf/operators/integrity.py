@@ -7,39 +7,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import settled
 from ..functions import geometry as G
 from ..settings import EPSILON, SHEET_HEIGHT_MM, SHEET_WIDTH_MM
 from .issues import issue
 
 #: Cells that rectangles are dealt to, so that only neighbours are compared.
 CELL_MM = 70.0
+#: Rectangles of a page up to which all are compared; their cells would be more rows than their pairs.
+FEW = 16
 
 
 def _shown(page: Column) -> Column:
     return F.when(page >= 0, page + 1)
 
 
-def overlaps(placements: DataFrame, *keys: str, cell: float = CELL_MM) -> DataFrame:
+def overlaps(placements: DataFrame, *keys: str, cell: float = CELL_MM, few: int = FEW) -> DataFrame:
     """(keys, first_id, second_id) of rectangles that overlap on one page, each pair once.
 
-    Needs id, x, y, w, h. Rectangles are joined by equality of page and grid cell, so
-    that a page of many is not compared all with all; a pair counts in the cell that
-    holds the upper left corner of what both cover.
+    Needs id, x, y, w, h. Those of a page of few are compared all with all. On a page
+    of many, rectangles are joined by equality of page and grid cell; a pair counts in
+    the cell that holds the upper left corner of what both cover.
     """
     finite = reduce(lambda a, b: a & b, [G.finite(F.col(c)) for c in ("x", "y", "w", "h")])
+    sound = placements.where(finite & (F.col("w") > 0) & (F.col("h") > 0)).select(*keys, F.struct("id", "x", "y", "w", "h").alias("r"))
+    counted = sound.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     cells = lambda low, size: F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
-    dealt = placements.where(finite & (F.col("w") > 0) & (F.col("h") > 0)).select(
-        *keys,
-        F.struct("id", "x", "y", "w", "h").alias("r"),
-        F.explode(cells(F.col("x"), F.col("w"))).alias("__cx"),
-        cells(F.col("y"), F.col("h")).alias("__ys"),
-    )
-    dealt = dealt.select(*keys, "r", "__cx", F.explode("__ys").alias("__cy"))
-    on = [*keys, "__cx", "__cy"]
-    pairs = dealt.withColumnRenamed("r", "a").join(dealt.withColumnRenamed("r", "b"), on)
+    dealt = counted.where(F.col("__n") > few).select(*keys, "r", F.explode(cells(F.col("r.x"), F.col("r.w"))).alias("__cx"))
+    dealt = dealt.select(*keys, "r", "__cx", F.explode(cells(F.col("r.y"), F.col("r.h"))).alias("__cy"))
     here = (F.col("__cx") == F.floor(F.greatest("a.x", "b.x") / cell)) & (F.col("__cy") == F.floor(F.greatest("a.y", "b.y") / cell))
-    kept = pairs.where((F.col("a.id") < F.col("b.id")) & here & G.overlap(F.col("a"), F.col("b")))
-    return kept.select(*keys, F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id"))
+    sparse = counted.where((F.col("__n") > 1) & (F.col("__n") <= few)).select(*keys, "r")
+
+    def met(rows: DataFrame, on: list[str]) -> DataFrame:
+        both = rows.withColumnRenamed("r", "a").join(rows.withColumnRenamed("r", "b"), on)
+        return both.where((F.col("a.id") < F.col("b.id")) & G.overlap(F.col("a"), F.col("b")))
+
+    named = [*keys, F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id")]
+    return met(sparse, list(keys)).select(*named).unionByName(met(dealt, [*keys, "__cx", "__cy"]).where(here).select(*named))
 
 
 def duplicates(placements: DataFrame) -> DataFrame:
@@ -51,16 +55,6 @@ def duplicates(placements: DataFrame) -> DataFrame:
     return repeated.select(*issue(F.col("batch_id"), "placement_duplicate", F.array("page_id"), _shown(F.col("output_page"))))
 
 
-def unknown(placements: DataFrame, assets: DataFrame) -> DataFrame:
-    lost = placements.join(assets.select("batch_id", "page_id"), ["batch_id", "page_id"], "left_anti")
-    return lost.select(*issue(F.col("batch_id"), "placement_unknown_asset", F.array("page_id"), _shown(F.col("output_page"))))
-
-
-def missing(placements: DataFrame, assets: DataFrame) -> DataFrame:
-    lost = assets.select("batch_id", "page_id").distinct().join(placements, ["batch_id", "page_id"], "left_anti")
-    return lost.select(*issue(F.col("batch_id"), "placement_missing", F.array("page_id")))
-
-
 def page_gaps(placements: DataFrame) -> DataFrame:
     """An issue for each batch whose page numbers aren't 0 to the last one."""
     used = placements.where("output_page >= 0").groupBy("batch_id", "output_page").agg(F.lit(1).alias("one"))
@@ -77,22 +71,26 @@ def invalid(placements: DataFrame) -> Column:
 
 def placement_issues(placements: DataFrame, assets: DataFrame) -> DataFrame:
     """Issues of placements (batch_id, page_id, output_page, x, y, width, height, crop) against assets (width_pt, height_pt)."""
-    known = placements.join(assets.select("batch_id", "page_id", "width_pt", "height_pt").distinct(), ["batch_id", "page_id"])
-    known = known.withColumn("__bad", invalid(known))
+    sizes = assets.select("batch_id", "page_id", "width_pt", "height_pt", F.lit(True).alias("__known")).distinct()
+    # Read three times: placements with their assets, and either without the other.
+    both = settled(placements.withColumn("__placed", F.lit(True)).join(sizes, ["batch_id", "page_id"], "full"))
+    placed = both.where("__placed").withColumn("__bad", invalid(both))
     ids, page = F.array("page_id"), _shown(F.col("output_page"))
     clipped = ~G.on_sheet(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     source = F.col("width_pt") * G.width(F.col("crop")) / (F.col("height_pt") * G.height(F.col("crop")))
     skewed = ~G.close(source, F.col("width") / F.col("height"))
-    codes = F.when(F.col("__bad"), F.array(F.lit("placement_invalid"))).otherwise(
-        F.array_compact(F.array(F.when(clipped, "placement_clipped"), F.when(skewed, "placement_aspect_mismatch")))
+    codes = (
+        F.when(F.col("__known").isNull(), F.array(F.lit("placement_unknown_asset")))
+        .when(F.col("__bad"), F.array(F.lit("placement_invalid")))
+        .otherwise(F.array_compact(F.array(F.when(clipped, "placement_clipped"), F.when(skewed, "placement_aspect_mismatch"))))
     )
-    single = known.select("*", F.explode(codes).alias("__code")).select(*issue(F.col("batch_id"), F.col("__code"), ids, page))
-    boxes = known.where("NOT __bad").select("batch_id", "output_page", F.col("page_id").alias("id"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"))
+    single = placed.select("*", F.explode(codes).alias("__code")).select(*issue(F.col("batch_id"), F.col("__code"), ids, page))
+    missing = both.where("__placed IS NULL").select("batch_id", "page_id").distinct().select(*issue(F.col("batch_id"), "placement_missing", ids))
+    boxes = placed.where("__known AND NOT __bad").select("batch_id", "output_page", F.col("page_id").alias("id"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"))
     crossing = overlaps(boxes, "batch_id", "output_page").select(
         *issue(F.col("batch_id"), "placement_overlap", F.array("first_id", "second_id"), _shown(F.col("output_page")))
     )
-    found = [duplicates(placements), unknown(placements, assets), single, crossing, missing(placements, assets), page_gaps(placements)]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [duplicates(placements), single, crossing, missing, page_gaps(placements)])
 
 
 def asset_issues(assets: DataFrame, pages: DataFrame) -> DataFrame:

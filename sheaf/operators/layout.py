@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..settings import EPSILON, MIN_QR_MM, MIN_TEXT_MM, MM_PER_INCH, POINTS_PER_INCH, SHEET_WIDTH_MM, Settings
 from ..shipping import ship
+from .blocks import in_blocks, spans
 
 STEPS = 64
 
@@ -84,65 +86,93 @@ def next_fit(groups: list[list[float]], usable: float, gap: float) -> list[list[
     return pages
 
 
-def pack(items: DataFrame, settings: Settings) -> DataFrame:
-    """``items`` (batch_id, group_seq, item_seq, page_id, min_height) with output_page, from 0.
+def pack(items: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``items`` (batch_id, group_seq, item_seq, page_id, min_height, and columns to ``carry``) with output_page, from 0.
 
     Next-fit is sequential, so a batch's items, without their contents, meet in one
-    task; batches are packed side by side.
+    task, which packs one batch after the other; tasks run side by side.
     """
     usable, gap = settings.usable_height, settings.item_gap_mm
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["group_seq", "item_seq"], kind="stable")
-        parts = [list(g) for _, g in group.groupby("group_seq", sort=False)["min_height"]]
-        return group.assign(output_page=[p for places in next_fit(parts, usable, gap) for p in places])
-
-    ship(items.sparkSession)
-    slim = items.select("batch_id", "group_seq", "item_seq", "page_id", F.col("min_height").cast("double").alias("min_height"))
+    def run(rows: pa.Table) -> pa.Table:
+        groups, heights, pages = rows.column("group_seq").to_pylist(), rows.column("min_height").to_pylist(), []
+        for start, end in spans(rows, ["batch_id"]):
+            parts, last = [], None
+            for g, h in zip(groups[start:end], heights[start:end], strict=True):
+                if not parts or g != last:
+                    parts.append([])
+                parts[-1].append(h)
+                last = g
+            pages += [p for places in next_fit(parts, usable, gap) for p in places]
+        return rows.append_column("output_page", pa.array(pages, "int32"))
+
+    slim = items.select("batch_id", "group_seq", "item_seq", "page_id", F.col("min_height").cast("double").alias("min_height"), *carry)
     schema = slim.select("*", F.lit(0).cast("int").alias("output_page")).schema
-    return slim.groupBy("batch_id").applyInPandas(run, schema)
+    return in_blocks(slim, ["batch_id"], ["group_seq", "item_seq"], run, schema)
 
 
-def target_width(items: Column, settings: Settings) -> Column:
-    """The greatest common width, by bisection, at which a page's items fit below each other.
+def common_widths(items: pa.Array, settings: Settings) -> np.ndarray:
+    """For each page the greatest common width, by bisection, at which its items fit below each other.
 
-    Items are structs of min_width, max_width and ratio, summed in their order.
+    ``items``: a page's structs of min_width, max_width and ratio, summed in their
+    order. All pages are halved together, the first items of each, then the second ones.
     """
-    usable = F.lit(settings.usable_width)
-    available = settings.usable_height - settings.item_gap_mm * F.greatest(F.size(items) - 1, F.lit(0))
+    usable, counts = settings.usable_width, items.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    sizes, starts = items.flatten(), np.cumsum(counts) - counts
+    low, high, ratio = (sizes.field(c).to_numpy(zero_copy_only=False) for c in ("min_width", "max_width", "ratio"))
+    high = np.fmin(high, usable)
+    ranks = []
+    for k in range(counts.max(initial=0)):
+        pages = np.flatnonzero(counts > k)
+        at = starts[pages] + k
+        ranks.append((pages, low[at], high[at], ratio[at]))
+    available = settings.usable_height - settings.item_gap_mm * np.maximum(counts - 1, 0)
+
+    def total(width: np.ndarray) -> np.ndarray:
+        height = np.zeros(len(counts))
+        for pages, a, b, r in ranks:
+            height[pages] += np.fmax(a, np.fmin(width[pages], b)) / r
+        return height
+
+    lo, hi = np.zeros(len(counts)), np.full(len(counts), usable)
+    for _ in range(STEPS):
+        middle = (lo + hi) / 2
+        fits = total(middle) <= available
+        lo, hi = np.where(fits, middle, lo), np.where(fits, hi, middle)
+    return np.where(total(np.zeros(len(counts))) <= available + EPSILON, lo, 0.0)
 
-    def total(width: Column) -> Column:
-        clamped = lambda x: F.greatest(x["min_width"], F.least(width, x["max_width"], usable)) / x["ratio"]
-        return F.aggregate(items, F.lit(0.0), lambda a, x: a + clamped(x))
 
-    def halve(state: Column, _: Column) -> Column:
-        middle = (state["lo"] + state["hi"]) / 2
-        fits = total(middle) <= available
-        return F.struct(F.when(fits, middle).otherwise(state["lo"]).alias("lo"), F.when(fits, state["hi"]).otherwise(middle).alias("hi"))
+def target_width(items: Column, settings: Settings) -> Column:
+    """``common_widths`` of a column."""
+    ship()
+
+    @F.arrow_udf("double")
+    def widths(pages: pa.Array) -> pa.Array:
+        return pa.array(common_widths(pages, settings))
 
-    start = F.struct(F.lit(0.0).alias("lo"), usable.alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda s: s["lo"])
-    return F.when(total(F.lit(0.0)) <= available + EPSILON, found).otherwise(0.0)
+    return widths(items)
 
 
-def place(packed: DataFrame, settings: Settings) -> DataFrame:
-    """(batch_id, output_page, page_id, x, y, width, height) in mm from the sheet's top left corner.
+def place(packed: DataFrame, settings: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(batch_id, output_page, page_id, x, y, width, height) in mm from the sheet's top left corner, and columns to ``carry``.
 
     Needs min_width, max_width and ratio beside what ``pack`` returns. The items of
-    a page, as many as fit one, are gathered for the common width; the rest is
-    windows over a page.
+    a page, as many as fit one, are gathered for the common width and dealt out again;
+    the rest is windows over a page.
     """
     page = ["batch_id", "output_page"]
-    listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("group_seq", "item_seq", "min_width", "max_width", "ratio"))),
-        lambda x: F.struct(x["min_width"].alias("min_width"), x["max_width"].alias("max_width"), x["ratio"].alias("ratio")),
-    )
-    common = packed.groupBy(*page).agg(listed.alias("__items")).select(*page, target_width(F.col("__items"), settings).alias("__target"))
+    needed = ["group_seq", "item_seq", "min_width", "max_width", "ratio"]
+    rest = [c for c in dict.fromkeys(["page_id", *carry]) if c not in needed]
+    gathered = F.sort_array(F.collect_list(F.struct(*needed[:2], F.struct(*needed[2:]).alias("size"), F.struct(*rest).alias("rest"))))
+    common = packed.groupBy(*page).agg(gathered.alias("__items"))
+    common = common.withColumn("__target", target_width(F.transform("__items", lambda x: x["size"]), settings))
+    sized = common.select(*page, "__target", F.explode("__items").alias("__item"))
+    sized = sized.select(*page, "__target", "__item.group_seq", "__item.item_seq", "__item.size.*", "__item.rest.*")
     width = F.greatest("min_width", F.least("__target", "max_width", F.lit(settings.usable_width)))
-    sized = packed.join(common, page).withColumn("width", width).withColumn("height", F.col("width") / F.col("ratio"))
+    sized = sized.withColumn("width", width).withColumn("height", F.col("width") / F.col("ratio"))
     order = Window.partitionBy(*page).orderBy("group_seq", "item_seq")
     gap = F.lit(settings.item_gap_mm)
     above = F.coalesce(F.sum(F.col("height") + gap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     everything = F.sum(F.col("height") + gap).over(Window.partitionBy(*page)) - gap
     top = F.lit(settings.page_margin_mm) + (F.lit(settings.usable_height) - everything) / 2
-    return sized.select(*page, "page_id", ((SHEET_WIDTH_MM - F.col("width")) / 2).alias("x"), (top + above).alias("y"), "width", "height")
+    return sized.select(*page, "page_id", ((SHEET_WIDTH_MM - F.col("width")) / 2).alias("x"), (top + above).alias("y"), "width", "height", *carry)

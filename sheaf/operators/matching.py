@@ -8,11 +8,11 @@ good paths the one through the smallest ids is kept.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from .blocks import in_blocks, spans
 
 SCALE = 10_000
 
@@ -62,14 +62,20 @@ def solve(edges: list[tuple[str, str, int]]) -> dict[str, str]:
 def maximum_matching(edges: DataFrame, block: list[str]) -> DataFrame:
     """(block, support_id, primary_id) of the best one-to-one matching within each block.
 
-    A block's remaining edges, three short columns each, are solved in one task.
+    A block's remaining edges, three short columns each, are solved in one task, which
+    takes one block after the other.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = solve(list(zip(group["support_id"], group["primary_id"], group["weight"].astype(int), strict=True)))
-        keys = {k: group[k].iloc[0] for k in block}
-        return pd.DataFrame([keys | {"support_id": s, "primary_id": p} for s, p in found.items()], columns=[*block, "support_id", "primary_id"])
+    def run(rows: pa.Table) -> pa.Table:
+        supports, primaries, weights = (rows.column(c).to_pylist() for c in ("support_id", "primary_id", "weight"))
+        found, first = [], []
+        for start, end in spans(rows, block):
+            solved = solve(list(zip(supports[start:end], primaries[start:end], weights[start:end], strict=True)))
+            found += solved.items()
+            first += [start] * len(solved)
+        named = rows.select([*block, "support_id", "primary_id"])
+        pairs = [pa.array([f[i] for f in found], t) for i, t in enumerate(named.schema.types[-2:])]
+        return pa.Table.from_arrays([*(rows.column(k).take(pa.array(first, "int64")) for k in block), *pairs], names=named.column_names)
 
-    ship(edges.sparkSession)
     weighed = edges.select(*block, "support_id", "primary_id", (F.col("score") * SCALE).cast("long").alias("weight"))
-    return weighed.groupBy(*block).applyInPandas(run, weighed.select(*block, "support_id", "primary_id").schema)
+    return in_blocks(weighed, block, [], run, weighed.select(*block, "support_id", "primary_id").schema)

@@ -38,23 +38,25 @@ def run(pages: DataFrame, settings: Settings, ascii_only: bool = False) -> Outco
     Photos are left out before linkage. Items that can't be sized are issues and are
     not placed, which fails their batch.
     """
+    # Each of these is read several times; settled, it is computed once and its plan stays short.
+    pages = settled(pages)
     told = observation_issues(pages)
     open_ = pages.where("document_type <> 'physical_ticket_photo'")
-    # Each of these is read several times; settled, it is computed once and its plan stays short.
-    pairs = settled(linkage.candidates(open_, ascii_only))
-    rejected = settled(linkage.rejections(pairs))
+    pairs = settled(linkage.contenders(open_, ascii_only))
+    rejected = settled(linkage.rejections(pairs, told=linkage.supports(open_)))
     matched = settled(linkage.matches(pairs, rejected))
     grouped = settled(linkage.groups(open_, matched))
     lone = linkage.unmatched(open_, pairs, rejected, matched)
     lone_issues = lone.select(*issues.issue(F.col("batch_id"), F.col("code"), F.array("support_id"), texts=issues.LINK_TEXTS))
     numbered = grouped.withColumn("group_seq", F.row_number().over(Window.partitionBy("batch_id").orderBy("rank", "members")))
     listed = numbered.select("batch_id", "group_seq", F.posexplode(F.concat("primary_page_ids", "support_page_ids")).alias("item_seq", "page_id"))
-    sized = settled(layout.size_bounds(listed.join(open_, ["batch_id", "page_id"]), settings))
+    measured = open_.select("batch_id", "page_id", "width_pt", "height_pt", "crop", "text_boxes", "qr_boxes", "raster_scale")
+    sized = layout.size_bounds(listed.join(measured, ["batch_id", "page_id"]), settings)
+    sized = settled(sized.select("batch_id", "group_seq", "item_seq", "page_id", "min_height", "min_width", "max_width", "ratio", "crop", "status"))
     refused = sized.where("status <> 'ok'").select(*issues.issue(F.col("batch_id"), "source_asset_invalid", F.array("page_id")))
     fine = sized.where("status = 'ok'").withColumn("min_height", F.least("min_height", F.lit(settings.usable_height)))
-    bounds = fine.select("batch_id", "page_id", "min_width", "max_width", "ratio", "crop")
-    packed = layout.pack(fine, settings).join(bounds, ["batch_id", "page_id"])
-    placements = settled(layout.place(packed, settings).join(bounds.select("batch_id", "page_id", "crop"), ["batch_id", "page_id"]))
+    packed = layout.pack(fine, settings, carry=("min_width", "max_width", "ratio", "crop"))
+    placements = settled(layout.place(packed, settings, carry=("crop",)))
     checked = integrity.placement_issues(placements, open_)
     everything = settled(told.unionByName(lone_issues).unionByName(refused).unionByName(checked))
     counted = issues.gate(everything)
