@@ -309,14 +309,16 @@ def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settled: rejection and matching read the pairs several times."""
-    return settled(linkage.candidates(observations(spark, sf_dir), ascii_only=True))
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations, contending pairs and rejections, settled where several steps read them."""
+    pages = settled(observations(spark, sf_dir))
+    pairs = settled(linkage.contenders(pages, ascii_only=True))
+    return pages, pairs, linkage.rejections(pairs, told=linkage.supports(pages))
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    return settled(linkage.matches(pairs, settled(linkage.rejections(pairs))))
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages, pairs, rejected = _linked(spark, sf_dir)
+    return pages, settled(linkage.matches(pairs, settled(rejected)))
 
 
 _REJECT_SQL = """
@@ -344,7 +346,7 @@ ranked AS MATERIALIZED (
 
 @query(f"WITH {_LINK_SQL}, {_REJECT_SQL} SELECT * FROM rejected")
 def link_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.rejections(_pairs(spark, sf_dir))
+    return _linked(spark, sf_dir)[2]
 
 
 @query(f"""
@@ -354,21 +356,20 @@ FROM pairs q ANTI JOIN rejected r ON r.batch_id = q.batch_id AND r.support_id =
 WHERE q.score >= 0.65
 """)
 def link_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    open_ = linkage.eligible(pairs, linkage.rejections(pairs))
+    _, pairs, rejected = _linked(spark, sf_dir)
+    open_ = linkage.eligible(pairs, rejected)
     return open_.select("batch_id", "support_id", "primary_id", F.col("score").cast("double").alias("score"))
 
 
 @query()
 def link_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _matched(spark, sf_dir)
+    _, found = _matched(spark, sf_dir)
     return found.select("batch_id", "support_id", "primary_id", F.col("score").cast("double").alias("score"))
 
 
 @query()
 def link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = observations(spark, sf_dir)
-    grouped = linkage.groups(pages, _matched(spark, sf_dir))
+    grouped = linkage.groups(*_matched(spark, sf_dir))
     return grouped.select("batch_id", "id", "rank", "members", F.col("score").cast("double").alias("score"))
 
 
@@ -381,8 +382,7 @@ SELECT batch_id, count(*) AS n_pages, count(*) AS n_placed FROM (
 """)
 def link_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page is in exactly one group."""
-    pages = observations(spark, sf_dir)
-    grouped = linkage.groups(pages, _matched(spark, sf_dir))
+    grouped = linkage.groups(*_matched(spark, sf_dir))
     members = grouped.select("batch_id", F.explode("members").alias("page_id"))
     counted = members.groupBy("batch_id").agg(F.count_distinct("page_id").alias("n_placed"), F.count("*").alias("n_pages"))
     return counted.select("batch_id", "n_pages", "n_placed")
