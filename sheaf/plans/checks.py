@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import settled
 from ..functions import geometry as G
 from ..functions import text
 from ..operators import evaluation, inputs, integrity, render, report
@@ -237,7 +238,8 @@ def compose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order side by side on a sheet (a line number may stand twice), some too near, too far right, without a height, skewed, or without an asset."""
     part, line = F.col("l_partkey"), F.col("l_linenumber")
     step = F.when(part % 13 == 0, 15).otherwise(26)
-    placed = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    placed = lines.select(
         F.col("l_orderkey").alias("batch_id"),
         (line.cast("long") * 10**12 + part * 10**6 + F.col("l_suppkey")).alias("seq"),
         F.when(part % 17 == 0, 1).otherwise(line).cast("long").alias("page_id"),
@@ -247,8 +249,10 @@ def compose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(20.0).alias("width"),
         F.when(part % 29 == 0, 0.0).when(part % 31 == 0, 31.0).otherwise(30.0).alias("height"),
         G.box(0, 0, 1, 1).alias("crop"),
-    ).distinct()
-    pages = placed.select("batch_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))).alias("page_id")).distinct()
+    )
+    placed = settled(placed)  # read five times
+    six = F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))
+    pages = placed.select("batch_id").distinct().select("batch_id", F.explode(six).alias("page_id"))
     assets = pages.select("*", F.lit(200.0).alias("width_pt"), F.lit(300.0).alias("height_pt"))
     found = integrity.compose_errors(placed, assets)
     return found.select(F.col("batch_id").cast("long").alias("batch_id"), "seq", "page_id", "error")
