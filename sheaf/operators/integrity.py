@@ -31,7 +31,7 @@ def overlaps(placements: DataFrame, *keys: str, cell: float = CELL_MM, few: int
     """
     finite = reduce(lambda a, b: a & b, [G.finite(F.col(c)) for c in ("x", "y", "w", "h")])
     sound = placements.where(finite & (F.col("w") > 0) & (F.col("h") > 0)).select(*keys, F.struct("id", "x", "y", "w", "h").alias("r"))
-    counted = sound.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    counted = sound.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)) if few else F.lit(1))
     cells = lambda low, size: F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
     dealt = counted.where(F.col("__n") > few).select(*keys, "r", F.explode(cells(F.col("r.x"), F.col("r.w"))).alias("__cx"))
     dealt = dealt.select(*keys, "r", "__cx", F.explode(cells(F.col("r.y"), F.col("r.h"))).alias("__cy"))
@@ -43,7 +43,10 @@ def overlaps(placements: DataFrame, *keys: str, cell: float = CELL_MM, few: int
         return both.where((F.col("a.id") < F.col("b.id")) & G.overlap(F.col("a"), F.col("b")))
 
     named = [*keys, F.col("a.id").alias("first_id"), F.col("b.id").alias("second_id")]
-    return met(sparse, list(keys)).select(*named).unionByName(met(dealt, [*keys, "__cx", "__cy"]).where(here).select(*named))
+    far = met(dealt, [*keys, "__cx", "__cy"]).where(here).select(*named)
+    if not few:  # small rectangles lie in few cells: no count of a page is worth its memory
+        return far
+    return met(sparse, list(keys)).select(*named).unionByName(far)
 
 
 def duplicates(placements: DataFrame) -> DataFrame:
@@ -176,31 +179,25 @@ def compose_errors(placements: DataFrame, assets: DataFrame) -> DataFrame:
     """
     known = assets.select("batch_id", "page_id", "width_pt", "height_pt", F.lit(True).alias("__known"))
     rows = placements.join(known, ["batch_id", "page_id"], "left")
-    again = F.col("seq") > F.min("seq").over(Window.partitionBy("batch_id", "page_id"))
+    again = F.row_number().over(Window.partitionBy("batch_id", "page_id").orderBy("seq")) > 1
     numbers = reduce(lambda a, b: a & b, [G.finite(F.col(c)) for c in ("x", "y", "width", "height")])
     origin = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("width") > 0) & (F.col("height") > 0)
     source = F.col("width_pt") * G.width(F.col("crop")) / (F.col("height_pt") * G.height(F.col("crop")))
-    boxes = placements.select("batch_id", "output_page", F.struct("seq", "page_id").alias("id"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"))
-    hit = overlaps(boxes, "batch_id", "output_page").select("batch_id", "second_id.seq", "second_id.page_id", F.lit(None).cast("int").alias("fault"))
-    faults = [
-        ("duplicate", again),
-        ("missing_asset", F.col("__known").isNull()),
-        ("negative_page", ~F.coalesce(F.col("output_page") >= 0, F.lit(False))),
-        ("not_finite", ~numbers),
-        ("bad_geometry", ~origin),
-        ("off_sheet", ~G.on_sheet(F.col("x"), F.col("y"), F.col("width"), F.col("height"))),
-        ("aspect_mismatch", ~F.coalesce(G.close(source, F.col("width") / F.col("height")), F.lit(False))),
-    ]
-    fault = F.coalesce(*[F.when(holds, i) for i, (_, holds) in enumerate(faults)])
-    judged = rows.select("batch_id", "seq", "page_id", fault.alias("fault")).where("fault IS NOT NULL")
-    # Overlaps come last: one decides where no other fault is as early. Numbers for names: strings would have to be sorted.
-    alone = F.when(F.col("fault").isNotNull(), F.col("seq"))
-    first = judged.unionByName(hit).groupBy("batch_id").agg(
-        F.min("seq").alias("seq"), F.min_by("page_id", "seq").alias("page_id"), F.min(alone).alias("__alone"), F.min_by("fault", alone).alias("__fault")
+    boxes = placements.select("batch_id", "output_page", F.col("seq").alias("id"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"))
+    hit = overlaps(boxes, "batch_id", "output_page", few=0).select("batch_id", F.col("second_id").alias("seq"), F.lit(True).alias("__hit")).distinct()
+    error = (
+        F.when(again, "duplicate")
+        .when(F.col("__known").isNull(), "missing_asset")
+        .when(~F.coalesce(F.col("output_page") >= 0, F.lit(False)), "negative_page")
+        .when(~numbers, "not_finite")
+        .when(~origin, "bad_geometry")
+        .when(~G.on_sheet(F.col("x"), F.col("y"), F.col("width"), F.col("height")), "off_sheet")
+        .when(~F.coalesce(G.close(source, F.col("width") / F.col("height")), F.lit(False)), "aspect_mismatch")
+        .when(F.col("__hit"), "overlap")
     )
-    names = F.array(*[F.lit(name) for name, _ in faults])
-    error = F.when(F.col("__alone") == F.col("seq"), F.get(names, F.col("__fault"))).otherwise("overlap")
-    first = first.select("batch_id", "seq", "page_id", error.alias("error"))
+    judged = rows.join(hit, ["batch_id", "seq"], "left").select("batch_id", "seq", "page_id", error.alias("error"))
+    first = judged.where("error IS NOT NULL").groupBy("batch_id").agg(F.min(F.struct("seq", "page_id", "error")).alias("f"))
+    first = first.select("batch_id", "f.seq", "f.page_id", "f.error")
     gaps = page_gaps(placements).select("batch_id").join(first, "batch_id", "left_anti")
     return first.unionByName(gaps.select("batch_id", F.lit("page_gap").alias("error")), allowMissingColumns=True)
 
